@@ -42,12 +42,18 @@ def stratified_rank(df: DataFrame, strata: list[str], id_col: str, seed=42,
     """1-based rank of each row inside its stratum in md5('seed:id'), id order.
 
     Equal to ``row_number() over (partition by strata order by md5, id)`` but the
-    largest window partition is one sub-bucket, not a whole stratum.
+    largest window partition is one sub-bucket, not a whole stratum. The input
+    is scanned and shuffled once: the sub-bucket sizes are read off the ranked
+    rows themselves (same exchange, reused), and only that small size table is
+    ranked per stratum.
     """
     keyed = _keyed(df, id_col, seed, digits)
-    offsets = _offsets(keyed, strata).drop("__cnt")
     local = Window.partitionBy(*strata, "__sub").orderBy("__h", id_col)
     ranked = keyed.withColumn("__rn", F.row_number().over(local))
+    counts = ranked.groupBy(*strata, "__sub").agg(F.max("__rn").alias("__cnt"))
+    before = Window.partitionBy(*strata).orderBy("__sub").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*strata, "__sub",
+                            F.coalesce(F.sum("__cnt").over(before), F.lit(0)).cast("long").alias("__off"))
     out = _join_on(ranked, offsets, [*strata, "__sub"])
     return out.withColumn(rank_col, (F.col("__rn") + F.col("__off")).cast("long")).drop(
         "__h", "__sub", "__rn", "__off")
@@ -68,7 +74,7 @@ def stratified_sample(df: DataFrame, strata_col: str, targets: dict[str, int] |
     if isinstance(targets, dict):
         tmap = F.create_map(*[x for k, v in targets.items() for x in (F.lit(k), F.lit(int(v)))])
         target_col = F.element_at(tmap, F.col(strata_col))
-        source = keyed.where(F.col(strata_col).isin(list(targets)))
+        source = keyed  # strata without a target get a null target and drop below
         bound = len(targets) * 16 ** digits
         max_target = max(int(v) for v in targets.values())
     else:

@@ -17,7 +17,10 @@ from ..operators import agreement as AG
 from ..operators import metrics as M
 from ..operators import sampling as S
 from ..operators import threads as T
+from ..operators import retrieval as R
+from ..operators import textvec
 from ..operators.bootstrap import bootstrap_ci
+from ..operators.util import r6
 from ..sources.readers import profile
 from . import fixtures as FX
 
@@ -300,3 +303,58 @@ def q_label_agreement(spark, sf):
     longf = lab.select(F.lit("quality_vs_nontoxic").alias("dimension"), F.col("quality").alias("judge"),
                        (1 - F.col("toxic")).alias("human"))
     return AG.agreement(longf)
+
+
+# ---------------------------------------------------------------- TF-IDF and retrieval
+
+def doc_tfidf_model(spark, sf):
+    return textvec.fit(FX.docs(spark, sf), "text", 5000)
+
+
+@register("tfidf_weights")
+def q_tfidf_weights(spark, sf):
+    d = FX.docs(spark, sf)
+    w = textvec.transform(doc_tfidf_model(spark, sf), d, "doc_id", "text")
+    return w.select("doc_id", "term", r6("weight").alias("weight"))
+
+
+def benchmark_hits(spark, sf):
+    bench = FX.table_of(spark, sf, "benchmark")
+    return R.retrieve(bench, FX.docs(spark, sf), "item_id", "text", "doc_id", "text", k=3)
+
+
+@register("tfidf_topk")
+def q_tfidf_topk(spark, sf):
+    return benchmark_hits(spark, sf).select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id",
+                                            "similarity")
+
+
+@register("weak_grounding")
+def q_weak_grounding(spark, sf):
+    bench = FX.table_of(spark, sf, "benchmark")
+    return R.weak_grounding(bench, benchmark_hits(spark, sf), "item_id", 0.2)
+
+
+def conv_golden_queries(spark, sf):
+    msgs = FX.messages(spark, sf).select(F.col("tweet_id").alias("message_id"), "text")
+    return msgs.join(conv_golden_ids(spark, sf), "message_id", "left_semi")
+
+
+def conv_grounding(spark, sf):
+    pool = conv_retrieval_pool(spark, sf, flag=False)
+    hits = R.retrieve(conv_golden_queries(spark, sf), pool, "message_id", "text", "reply_tweet_id", "cust_text", k=3)
+    hits = hits.join(pool.select("reply_tweet_id", "cust_text", "brand_reply"), "reply_tweet_id")
+    return R.with_grounding(hits, "message_id", "cust_text", "brand_reply")
+
+
+@register("grounding_text")
+def q_grounding_text(spark, sf):
+    g = conv_grounding(spark, sf)
+    return g.select("message_id", F.size("grounding_used").alias("n_hits"),
+                    R.grounding_text("grounding_used").alias("grounding_text"))
+
+
+@register("grounding_summary")
+def q_grounding_summary(spark, sf):
+    g = conv_grounding(spark, sf)
+    return g.select("message_id", R.grounding_summary("grounding_used").alias("agent_grounding_summary"))

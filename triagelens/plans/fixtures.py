@@ -35,6 +35,10 @@ RATER_RULES = {
 DIMENSIONS = list(RATER_RULES)
 
 
+def table_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return table(spark, sf, name)
+
+
 def docs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents")
 

@@ -364,3 +364,65 @@ SQL["rater_agreement"] = agreement_sql(
 
 SQL["label_agreement"] = agreement_sql(
     "(select 'quality_vs_nontoxic' as dimension, quality as judge, 1 - toxic as human from labels)", None)
+
+# ---------------------------------------------------------------- TF-IDF and retrieval
+
+TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
+
+
+def weights_sql(src: str, id_col: str, text_col: str, vocab: str) -> str:
+    return f"""(select id, term, raw / sqrt(sum(raw * raw) over (partition by id)) as weight from (
+      select id, term, tf * idf as raw from (
+        select id, term, count(*) as tf from (
+          select id, unnest(list_concat(toks, list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1]))) as term
+          from (select {id_col} as id, regexp_extract_all(lower({text_col}), '{TOKEN_RE}') as toks from {src}))
+        group by id, term) join {vocab} using (term)))"""
+
+
+def vocab_sql(src: str, text_col: str, max_features: int = 5000) -> str:
+    return f"""(select term, ln((1 + (select count(*) from {src}))::double / (1 + df)) + 1 as idf from (
+      select term, sum(tf) as total, count(*) as df from (
+        select id, term, count(*) as tf from (
+          select id, unnest(list_concat(toks, list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1]))) as term
+          from (select row_number() over () as id, regexp_extract_all(lower({text_col}), '{TOKEN_RE}') as toks from {src}))
+        group by id, term)
+      group by term order by total desc, term limit {max_features}))"""
+
+
+def topk_sql(q_src, qid, qtext, p_src, pid, ptext, k=3) -> str:
+    v = vocab_sql(p_src, ptext)
+    return f"""(select * from (
+      select qid, pid, sim_raw, round(sim_raw, 6) as similarity,
+             row_number() over (partition by qid order by round(sim_raw, 6) desc, pid) as rank
+      from (select q.id as qid, p.id as pid, sum(q.weight * p.weight) as sim_raw
+            from {weights_sql(q_src, qid, qtext, v)} q join {weights_sql(p_src, pid, ptext, v)} p using (term)
+            group by 1, 2))
+    where rank <= {k})"""
+
+
+SQL["tfidf_weights"] = f"""
+select id as doc_id, term, round(weight, 6) as weight
+from {weights_sql('documents', 'doc_id', 'text', vocab_sql('documents', 'text'))}"""
+
+BENCH_TOPK = topk_sql("benchmark", "item_id", "text", "documents", "doc_id", "text")
+SQL["tfidf_topk"] = f"select qid as item_id, rank::int as rank, pid as doc_id, similarity from {BENCH_TOPK}"
+SQL["weak_grounding"] = f"""
+select b.item_id, h.max_similarity, coalesce(h.n_hits, 0) as n_hits, coalesce(h.max_similarity, 0.0) < 0.2 as weak
+from benchmark b left join (select qid, max(similarity) as max_similarity, count(*) as n_hits
+                            from {BENCH_TOPK} group by qid) h on h.qid = b.item_id"""
+
+CONV_POOL = f"(select * from {PAIRS} where cust_tweet_id not in (select message_id from {CONV_GOLDEN_IDS}))"
+CONV_QUERIES = f"(select tweet_id as message_id, text from {MSGS} where tweet_id in (select message_id from {CONV_GOLDEN_IDS}))"
+CONV_HITS = f"""(select h.qid as message_id, h.rank, h.sim_raw, p.cust_text, p.brand_reply
+   from {topk_sql(CONV_QUERIES, 'message_id', 'text', CONV_POOL, 'reply_tweet_id', 'cust_text')} h
+   join {CONV_POOL} p on p.reply_tweet_id = h.pid)"""
+
+SQL["grounding_text"] = f"""
+select message_id, count(*)::int as n_hits,
+       string_agg('- Similar past message: "' || cust_text || '" -> Brand''s actual reply: "' || brand_reply
+                  || '" (similarity: ' || printf('%.2f', sim_raw) || ')', chr(10) order by rank) as grounding_text
+from {CONV_HITS} group by message_id"""
+
+SQL["grounding_summary"] = f"""
+select message_id, string_agg(substr(brand_reply, 1, 80), '; ' order by rank) as agent_grounding_summary
+from {CONV_HITS} where rank <= 2 group by message_id"""

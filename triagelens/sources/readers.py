@@ -16,13 +16,35 @@ from .schemas import DRIVER_TABLES
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one driver table with its declared schema."""
+# Tables whose rows carry long text: per-row regex work dominates their cost.
+TEXT_TABLES = {"documents", "conversations", "benchmark", "pages"}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool | None = None) -> DataFrame:
+    """Read one driver table with its declared schema.
+
+    Text tables are spread over the cluster's cores when the scan yields fewer
+    splits than cores (a small file written as one row group). Large inputs
+    have many splits already and are never reshuffled here.
+    """
     reader = spark.read
     schema = DRIVER_TABLES.get(name)
     if schema is not None:
         reader = reader.schema(schema)
-    return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if spread is None:
+        spread = name in TEXT_TABLES
+    if spread:
+        df = spread_small(df)
+    return df
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Round-robin a frame over all cores if its input has fewer splits than cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType, columns=None,
