@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.difficulty import score_frame
 from ..functions.lexicon import REFERENCE_TARGETS
 from ..operators import agreement as AG
+from ..operators import baselines as B
 from ..operators import metrics as M
 from ..operators import sampling as S
 from ..operators import threads as T
@@ -358,3 +359,19 @@ def q_grounding_text(spark, sf):
 def q_grounding_summary(spark, sf):
     g = conv_grounding(spark, sf)
     return g.select("message_id", R.grounding_summary("grounding_used").alias("agent_grounding_summary"))
+
+
+# ---------------------------------------------------------------- classifiers (rows-only checks)
+
+@register("logreg_predictions")
+def q_logreg_predictions(spark, sf):
+    g = FX.golden(spark, sf).select("message_id", "text", "true_intent")
+    clf = B.fit_logreg(g, "text", "true_intent")
+    return clf.predict(g, "pred_intent", "confidence").select(
+        "message_id", "true_intent", "pred_intent", r6("confidence").alias("confidence"))
+
+
+@register("logreg_cv_accuracy")
+def q_logreg_cv_accuracy(spark, sf):
+    g = FX.golden(spark, sf).select("message_id", "text", "true_intent")
+    return B.cv_accuracy(B.cv_predictions(g, "message_id", "text", "true_intent", 5, FX.SEED), "true_intent")
