@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import prompts as PR
+from ..functions import responses as RS
 from ..functions.difficulty import score_frame
 from ..functions.lexicon import REFERENCE_TARGETS
 from ..operators import agreement as AG
@@ -22,8 +24,14 @@ from ..operators import retrieval as R
 from ..operators import textvec
 from ..operators.bootstrap import bootstrap_ci
 from ..operators.util import r6
-from ..sources.readers import profile
+from ..operators.stages import StageStore
+from ..session import scratch_path
+from ..sources import sinks as K
+from ..sources.readers import profile, read_csv
+from ..sources.schemas import GOLDEN as GOLDEN_SCHEMA
+from . import agent_run as AR
 from . import fixtures as FX
+from .stub_model import StubModel
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -375,3 +383,152 @@ def q_logreg_predictions(spark, sf):
 def q_logreg_cv_accuracy(spark, sf):
     g = FX.golden(spark, sf).select("message_id", "text", "true_intent")
     return B.cv_accuracy(B.cv_predictions(g, "message_id", "text", "true_intent", 5, FX.SEED), "true_intent")
+
+
+# ---------------------------------------------------------------- prompts and responses
+
+@register("prompts_classify")
+def q_prompts_classify(spark, sf):
+    d = FX.docs(spark, sf)
+    return d.select("doc_id", PR.classify_prompt(F.col("text"), FX.BRAND).alias("prompt"))
+
+
+def golden_grounded(spark, sf):
+    """Labelled messages with their top-3 precedent from the thread-pair pool."""
+    golden = FX.golden_with_predictions(spark, sf).select("message_id", "text", "pred_intent", "pred_escalate")
+    ground = AR.grounding(spark, sf, golden)
+    top1 = F.try_element_at(F.col("grounding_used"), F.lit(1))["reply"]
+    return golden.join(ground, "message_id", "left").select(
+        "message_id", "text", F.coalesce("pred_intent", F.lit("other_unclear")).alias("intent"),
+        F.coalesce("grounding_text", F.lit("")).alias("grounding_text"),
+        F.coalesce("agent_grounding_summary", F.lit("")).alias("grounding_summary"),
+        F.coalesce(top1, F.lit("")).alias("draft_reply"), "pred_escalate")
+
+
+@register("prompts_draft")
+def q_prompts_draft(spark, sf):
+    g = golden_grounded(spark, sf)
+    return g.select("message_id", PR.draft_prompt(F.col("text"), F.col("intent"), F.col("grounding_text"),
+                                                  FX.BRAND).alias("prompt"))
+
+
+@register("prompts_escalate")
+def q_prompts_escalate(spark, sf):
+    g = golden_grounded(spark, sf)
+    return g.select("message_id", PR.escalate_prompt(F.col("text"), F.col("intent"), F.col("grounding_text"),
+                                                     F.col("draft_reply"), FX.BRAND).alias("prompt"))
+
+
+@register("prompts_judge")
+def q_prompts_judge(spark, sf):
+    g = golden_grounded(spark, sf)
+    return g.select("message_id", PR.judge_prompt(F.col("text"), F.col("grounding_summary"), F.col("draft_reply"),
+                                                  F.col("pred_escalate"), F.lit(None).cast("string"))
+                    .alias("prompt"))
+
+
+@register("json_block")
+def q_json_block(spark, sf):
+    r = FX.model_responses(spark, sf)
+    text = RS.strip_fence(F.col("raw"))
+    return r.select("doc_id", "shape", text.alias("text"), RS.balanced_block(text).alias("block"))
+
+
+@register("json_parsed")
+def q_json_parsed(spark, sf):
+    r = RS.parse_frame(FX.model_responses(spark, sf), "raw", "p")
+    return r.select("doc_id", "shape", "p.parse_path", "p.error", F.size("p.parsed").alias("n_keys"),
+                    F.to_json("p.parsed").alias("parsed_json"))
+
+
+@register("required_fields")
+def q_required_fields(spark, sf):
+    r = RS.parse_frame(FX.model_responses(spark, sf), "raw", "p")
+    c = RS.classification_fields(F.col("p.parsed"))
+    return r.select("doc_id", "shape", c["intent"].alias("intent"), c["confidence"].alias("confidence"),
+                    F.coalesce(F.col("p.error"), c["error"]).alias("error"))
+
+
+@register("judge_fields")
+def q_judge_fields(spark, sf):
+    r = RS.judge_frame(RS.parse_frame(FX.judge_responses(spark, sf), "raw", "p"), "p.parsed", "j")
+    return r.select("message_id", "shape", "p.parse_path", *[F.col(f"j.{f}") for f in RS.JUDGE_FIELDS],
+                    F.array_join("j.defaulted", ",").alias("defaulted"),
+                    F.array_join("j.recovered", ",").alias("recovered"))
+
+
+# ---------------------------------------------------------------- sources and sinks
+
+@register("csv_roundtrip")
+def q_csv_roundtrip(spark, sf):
+    """K1/K2/K5 then S1/S3/S4/S7: labelled batches written as CSV, read back by glob."""
+    g = FX.golden(spark, sf).select("message_id", "text", "difficulty_bucket", "difficulty_score",
+                                    "true_intent", "gold_reply_notes", "true_escalate", "true_escalate_reason")
+    g = S.stratified_batches(g, "difficulty_bucket", 4, "message_id", FX.SEED)
+    base = scratch_path(spark, "csv")
+    # one pass writes every batch as its own directory of CSV parts
+    K.write_csv(g.withColumn("batch", F.col("batch") + 1), f"{base}/golden_set", partition_by=["batch"])
+    back = read_csv(spark, f"{base}/golden_set/batch=*", GOLDEN_SCHEMA)
+    return back.select("message_id", "text", "difficulty_bucket", "difficulty_score", "true_intent",
+                       "true_escalate")
+
+
+# ---------------------------------------------------------------- model stages (rows-only checks)
+
+def _agent(spark, sf):
+    return AR.run_agent(spark, sf, StubModel())
+
+
+@register("stage_classify")
+def q_stage_classify(spark, sf):
+    golden = AR.golden_messages(spark, sf)
+    store = StageStore(spark)
+    cls = AR.classify(store, golden, StubModel())
+    return cls.select("message_id", "llm_pred_intent", "confidence", "parse_path", "attempts", "status")
+
+
+@register("agent_batch")
+def q_agent_batch(spark, sf):
+    res = _agent(spark, sf)["results"]
+    return res.select("message_id", "llm_pred_intent", "agent_escalate", "agent_draft_reply",
+                      "agent_escalation_reason", "agent_grounding_summary")
+
+
+@register("judge_stage")
+def q_judge_stage(spark, sf):
+    out = _agent(spark, sf)
+    return out["judge"].select("message_id", "judge_accuracy", "judge_relevance", "judge_tone",
+                               "judge_escalation_judgment", "judge_overall", "judge_notes", "status")
+
+
+@register("resume_pending")
+def q_resume_pending(spark, sf):
+    """First run with an outage on more prompts, second run only calls what is pending."""
+    golden = AR.golden_messages(spark, sf)
+    store = StageStore(spark)
+    first = AR.classify(store, golden, StubModel(fail_prefixes="01"))
+    n_first_ok = first.where(F.col("status") == "ok").select(F.count(F.lit(1))).first()[0]
+    AR.classify(store, golden, StubModel())
+    t = store.read("classify", AR.CLASSIFY_SCHEMA)
+    runs = t.groupBy("written_at").agg(F.count(F.lit(1)).alias("n_calls"))
+    final = store.latest("classify", AR.CLASSIFY_SCHEMA, "message_id")
+    return runs.select(F.dense_rank().over(Window.orderBy("written_at")).alias("run"), "n_calls").crossJoin(
+        final.agg(F.count(F.when(F.col("status") == "ok", 1)).alias("n_ok_final"),
+                  F.lit(n_first_ok).alias("n_ok_first")))
+
+
+@register("completion_counts")
+def q_completion_counts(spark, sf):
+    return AR.completion(_agent(spark, sf)["results"])
+
+
+@register("summary")
+def q_summary(spark, sf):
+    out = _agent(spark, sf)
+    golden = out["golden"]
+    trivial = M.accuracy(M.majority_predictions(golden, "true_intent"), "pred", "true_intent").select(
+        "accuracy").first()[0]
+    cv = B.cv_accuracy(B.cv_predictions(golden.select("message_id", "text", "true_intent"), "message_id",
+                                        "text", "true_intent", 5, FX.SEED), "true_intent")
+    simple = cv.select("cv_accuracy").first()[0]
+    return AR.summary(out["results"], trivial, simple)

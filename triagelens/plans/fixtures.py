@@ -107,3 +107,61 @@ def human_scores(spark: SparkSession, sf: str) -> DataFrame:
 __all__ = ["BRAND", "SEED", "CONV_TARGETS", "DIMENSIONS", "CONVERSATIONS_LEXICON", "DOCUMENTS_LEXICON",
            "docs", "labels", "messages", "golden", "golden_with_predictions", "judge_scores",
            "human_scores", "lang_prediction"]
+
+
+def model_responses(spark: SparkSession, sf: str) -> DataFrame:
+    """Synthetic raw model responses, one per document, in sixteen shapes chosen by
+    md5 of the id: clean, fenced, trailing and leading text, nested braces, raw
+    newline in a string, repeated key, missing key, single quotes, array, no JSON,
+    unbalanced, blank, brace inside a string, a prefix the fence strip eats, null."""
+    d = docs(spark, sf)
+    lang, src = F.col("lang"), F.col("source")
+    clean = F.concat(F.lit('{"intent": "'), lang, F.lit('", "confidence": 0.8, "reasoning": "from '), src,
+                     F.lit('"}'))
+    shapes = [
+        clean,
+        F.concat(F.lit("```json\n"), clean, F.lit("\n```")),
+        F.concat(clean, F.lit(" Hope this helps.")),
+        F.concat(F.lit("Sure! "), clean),
+        F.concat(F.lit('{"intent": "'), lang, F.lit('", "meta": {"k": 1}, "confidence": 0.7} }')),
+        F.concat(F.lit('{"intent": "'), lang, F.lit('", "reasoning": "line one\nline two"}')),
+        F.concat(F.lit('{"intent": "xx", "intent": "'), lang, F.lit('"}')),
+        F.lit('{"confidence": 0.4}'),
+        F.concat(F.lit("{'intent': '"), lang, F.lit("'}")),
+        F.concat(F.lit('["'), lang, F.lit('"]')),
+        F.lit("I am not sure."),
+        F.concat(F.lit('{"intent": "'), lang, F.lit('", "confidence": 0.6')),
+        F.lit("   "),
+        F.concat(F.lit('{"intent": "'), lang, F.lit('", "reasoning": "a } b"}')),
+        F.concat(F.lit('nosj {"intent": "'), lang, F.lit('"}')),
+        F.lit(None).cast("string"),
+    ]
+    shape = (F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 2), 16, 10).cast("int") % 16)
+    raw = F.element_at(F.array(*shapes), shape + 1)
+    return d.select("doc_id", shape.alias("shape"), raw.alias("raw"))
+
+
+def judge_responses(spark: SparkSession, sf: str) -> DataFrame:
+    """Synthetic judge responses from the rule-made judge scores, with misspelled,
+    missing, extra and string-valued keys in eight shapes."""
+    j = judge_scores(spark, sf)
+    a, r, t, e, o = (F.col(f"judge_{d}").cast("string") for d in DIMENSIONS)
+    shapes = [
+        F.concat(F.lit('{"accuracy": '), a, F.lit(', "relevance": '), r, F.lit(', "tone": '), t,
+                 F.lit(', "escalation_judgment": '), e, F.lit(', "overall": '), o, F.lit(', "notes": "fine"}')),
+        F.concat(F.lit('{"accuracy": '), a, F.lit(', "relevance": '), r, F.lit(', "tone": '), t,
+                 F.lit(', "escalation_justment": '), e, F.lit(', "overall": '), o, F.lit(', "notes": "typo"}')),
+        F.concat(F.lit('{"accuracy": '), a, F.lit(', "relevance": '), r, F.lit(', "tone": '), t,
+                 F.lit(', "escalation_judgment": '), e, F.lit(', "overal": '), o, F.lit(', "note": "short keys"}')),
+        F.concat(F.lit('{"accuracy": '), a, F.lit(', "relevance": '), r,
+                 F.lit(', "escalation_judgment": '), e, F.lit(', "overall": '), o, F.lit("}")),
+        F.concat(F.lit('```json\n{"accuracy": '), a, F.lit(', "relevance": '), r, F.lit(', "tone": '), t,
+                 F.lit(', "escalation_judgment": '), e, F.lit(', "overall": '), o, F.lit(', "notes": "fenced"}\n```')),
+        F.concat(F.lit('{"acuracy": '), a, F.lit(', "relevance": '), r, F.lit(', "tone": '), t,
+                 F.lit(', "escalation_judgment": '), e, F.lit(', "overall": '), o, F.lit(', "notes": "x"}')),
+        F.concat(F.lit('{"accuracy": "'), a, F.lit('", "relevance": "'), r, F.lit('", "tone": "'), t,
+                 F.lit('", "escalation_judgment": "'), e, F.lit('", "overall": "'), o, F.lit('", "notes": "strings"}')),
+        F.lit("no scores today"),
+    ]
+    shape = (F.conv(F.substring(F.md5(F.col("message_id").cast("string")), 1, 2), 16, 10).cast("int") % 8)
+    return j.select("message_id", shape.alias("shape"), F.element_at(F.array(*shapes), shape + 1).alias("raw"))

@@ -426,3 +426,98 @@ from {CONV_HITS} group by message_id"""
 SQL["grounding_summary"] = f"""
 select message_id, string_agg(substr(brand_reply, 1, 80), '; ' order by rank) as agent_grounding_summary
 from {CONV_HITS} where rank <= 2 group by message_id"""
+
+# ---------------------------------------------------------------- prompts and responses
+
+from ..functions import prompts as _P  # noqa: E402
+import json as _json  # noqa: E402
+import string as _string  # noqa: E402
+
+
+def fill_sql(template: str, **values: str) -> str:
+    parts = []
+    for literal, field, _, _ in _string.Formatter().parse(template):
+        if literal:
+            parts.append(q(literal))
+        if field is not None:
+            parts.append(values[field])
+    return "(" + " || ".join(parts) + ")"
+
+
+SQL["prompts_classify"] = f"""
+select doc_id, {fill_sql(_P.CLASSIFY_TEMPLATE, brand=q(FX.BRAND), intents=q(_json.dumps(_P.REFERENCE_INTENTS)),
+                         text='text')} as prompt from documents"""
+
+GOLDEN_HITS = f"""(select h.qid as message_id, h.rank, h.sim_raw, p.cust_text, p.brand_reply
+   from {topk_sql('(select message_id, text from ' + GOLDEN + ')', 'message_id', 'text', PAIRS, 'reply_tweet_id',
+                  'cust_text')} h
+   join {PAIRS} p on p.reply_tweet_id = h.pid)"""
+
+GROUNDED = f"""(
+  select g.message_id, g.text, coalesce(g.pred_intent, 'other_unclear') as intent,
+         coalesce(gt.grounding_text, '') as grounding_text, coalesce(gs.summary, '') as grounding_summary,
+         coalesce(top.brand_reply, '') as draft_reply, g.pred_escalate
+  from {GOLDEN_PRED} g
+  left join (select message_id, string_agg('- Similar past message: "' || cust_text || '" -> Brand''s actual reply: "'
+                     || brand_reply || '" (similarity: ' || printf('%.2f', sim_raw) || ')', chr(10) order by rank)
+                     as grounding_text from {GOLDEN_HITS} group by message_id) gt using (message_id)
+  left join (select message_id, string_agg(substr(brand_reply, 1, 80), '; ' order by rank) as summary
+             from {GOLDEN_HITS} where rank <= 2 group by message_id) gs using (message_id)
+  left join (select message_id, brand_reply from {GOLDEN_HITS} where rank = 1) top using (message_id))"""
+
+SQL["prompts_draft"] = f"""
+select message_id, {fill_sql(_P.DRAFT_TEMPLATE, brand=q(FX.BRAND), message='text', intent='intent',
+                             grounding_text='grounding_text')} as prompt from {GROUNDED}"""
+
+SQL["prompts_escalate"] = f"""
+select message_id, {fill_sql(_P.ESCALATE_TEMPLATE, brand=q(FX.BRAND), message='text', intent='intent',
+                             grounding_text='grounding_text', draft_reply='draft_reply')} as prompt from {GROUNDED}"""
+
+SQL["prompts_judge"] = f"""
+select message_id, {fill_sql(_P.JUDGE_TEMPLATE, message='text', grounding='grounding_summary',
+                             draft_reply='draft_reply',
+                             escalate="(case when pred_escalate is null then 'None' when pred_escalate then 'True' else 'False' end)",
+                             escalation_reason="'None'")} as prompt from {GROUNDED}"""
+
+_RESP_SHAPES = [
+    """'{"intent": "' || lang || '", "confidence": 0.8, "reasoning": "from ' || source || '"}'""",
+    """'```json' || chr(10) || '{"intent": "' || lang || '", "confidence": 0.8, "reasoning": "from ' || source || '"}' || chr(10) || '```'""",
+    """'{"intent": "' || lang || '", "confidence": 0.8, "reasoning": "from ' || source || '"}' || ' Hope this helps.'""",
+    """'Sure! ' || '{"intent": "' || lang || '", "confidence": 0.8, "reasoning": "from ' || source || '"}'""",
+    """'{"intent": "' || lang || '", "meta": {"k": 1}, "confidence": 0.7} }'""",
+    """'{"intent": "' || lang || '", "reasoning": "line one' || chr(10) || 'line two"}'""",
+    """'{"intent": "xx", "intent": "' || lang || '"}'""",
+    """'{"confidence": 0.4}'""",
+    """'{''intent'': ''' || lang || '''}'""",
+    """'["' || lang || '"]'""",
+    """'I am not sure.'""",
+    """'{"intent": "' || lang || '", "confidence": 0.6'""",
+    """'   '""",
+    """'{"intent": "' || lang || '", "reasoning": "a } b"}'""",
+    """'nosj {"intent": "' || lang || '"}'""",
+    "null",
+]
+RESPONSES = "(select doc_id, shape, case shape " + " ".join(
+    f"when {i} then {e}" for i, e in enumerate(_RESP_SHAPES)) + \
+    " end as raw from (select doc_id, lang, source, (('0x' || substr(md5(doc_id::varchar), 1, 2))::int % 16)::int as shape from documents))"
+
+_WS_TRIM = f"'^{WS_CLASS}+|{WS_CLASS}+$'"
+STRIPPED = f"""(select doc_id, shape, nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw,
+    {_WS_TRIM}, '', 'g'), '^[`json]+|[`json]+$', '', 'g'), '^`+|`+$', '', 'g'), {_WS_TRIM}, '', 'g'), '') as text
+  from {RESPONSES})"""
+
+SQL["json_block"] = f"""
+with s as {STRIPPED},
+t as (select doc_id, shape, text, instr(text, '{{') as st,
+             case when instr(text, '{{') > 0 then substr(text, instr(text, '{{')) end as tail from s),
+c as (select doc_id, i, sum(case substr(tail, i, 1) when '{{' then 1 when '}}' then -1 else 0 end)
+                 over (partition by doc_id order by i) as depth, substr(tail, i, 1) as ch
+      from t, range(1, length(tail) + 1) r(i) where tail is not null),
+e as (select doc_id, min(i) as end_pos from c where ch = '}}' and depth = 0 group by doc_id)
+select t.doc_id, t.shape, t.text,
+       case when t.st = 0 or t.st is null then t.text when e.end_pos is not null then substr(t.tail, 1, e.end_pos::int)
+            else t.tail end as block
+from t left join e using (doc_id)"""
+
+SQL["csv_roundtrip"] = f"""
+select message_id, text, difficulty_bucket, difficulty_score, true_intent, true_escalate from {GOLDEN}"""

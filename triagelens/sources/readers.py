@@ -13,7 +13,8 @@ from pyspark.sql.types import StructType
 
 from .schemas import DRIVER_TABLES
 
-CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
+CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": "\"", "escape": "\"",
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 # Tables whose rows carry long text: per-row regex work dominates their cost.
