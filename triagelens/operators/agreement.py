@@ -55,7 +55,8 @@ def agreement(longf: DataFrame, n_unmatched=None) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         r6(F.avg((j == h).cast("double"))).alias("exact_agreement"),
         r6(F.avg((F.abs(j - h) <= 1).cast("double"))).alias("within_1_agreement"),
-        r6(F.when((F.var_pop(j) > 0) & (F.var_pop(h) > 0), F.corr(j, h))).alias("correlation"),
+        # null when either rater is constant (ANSI-safe; corr() would divide by zero)
+        r6(F.try_divide(F.covar_pop(j, h), F.stddev_pop(j) * F.stddev_pop(h))).alias("correlation"),
         r6(F.avg(j - h)).alias("bias"))
     out = stats.join(kappa_table(longf), "dimension")
     if n_unmatched is not None:

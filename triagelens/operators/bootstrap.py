@@ -43,21 +43,29 @@ def bootstrap_ci(df: DataFrame, value_col: str, id_col: str, n_boot: int = 2000,
     n = vals.select(F.count(F.lit(1))).scalar()
     mean = vals.select(F.avg("x")).scalar()
     replicates = F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b")
+    # Each value row fans out to n_boot rows. Spread the n rows over all cores
+    # first: AQE sizes partitions by input bytes and would otherwise pack a small
+    # value table into one task that then does all n * n_boot rows of work.
+    width = df.sparkSession.sparkContext.defaultParallelism
     if method == "index":
         ranked = stratified_rank(vals.withColumn("__one", F.lit(1)), ["__one"], id_col, seed, "__rk")
         ranked = ranked.select((F.col("__rk") - 1).alias("idx"), "x")
-        draws = ranked.select(F.col("idx").alias("i"), replicates).select(
+        draws = ranked.repartition(width).select(F.col("idx").alias("i"), replicates).select(
             "b", (_hash_u32(seed, F.col("b"), F.col("i")) % n).alias("idx"))
-        reps = draws.join(ranked, "idx").groupBy("b").agg(F.avg("x").alias("m"))
+        # n value rows against n_boot * n draws: the values side is broadcast on its counted size
+        values = checked_broadcast(ranked, bound=int(vals.select(F.count(F.lit(1))).first()[0]))
+        reps = draws.join(values, "idx").groupBy("b").agg(F.avg("x").alias("m"))
     elif method == "poisson":
-        u = _hash_u32(seed, F.col("b"), F.col(id_col)) / float(2 ** 32)
         cdf, acc, term = [], 0.0, math.exp(-1.0)
         for k in range(12):
             acc += term
             cdf.append(acc)
             term /= (k + 1)
-        w = sum((u >= c).cast("int") for c in cdf)
-        weighted = vals.select(id_col, "x", replicates).select("b", "x", w.alias("w"))
+        # the hashed uniform is its own projection, so md5 runs once per draw
+        draws = vals.repartition(width).select(id_col, "x", replicates).select(
+            "b", "x", (_hash_u32(seed, F.col("b"), F.col(id_col)) / float(2 ** 32)).alias("u"))
+        w = sum((F.col("u") >= c).cast("int") for c in cdf)
+        weighted = draws.select("b", "x", w.alias("w"))
         reps = (weighted.groupBy("b").agg(F.sum(F.col("w") * F.col("x")).alias("sx"), F.sum("w").alias("sw"))
                 .select("b", (F.col("sx") / F.col("sw")).alias("m")))
     else:
