@@ -8,14 +8,14 @@ from triagelens.plans.stub_model import StubModel
 from conftest import SF_SMALL
 
 
-class Counting(StubModel):
-    def __init__(self, counter, **kw):
-        super().__init__(**kw)
-        self.counter = counter
-
-    def __call__(self, prompt):
-        self.counter.add(1)
-        return super().__call__(prompt)
+def Counting(counter, **kw):
+    # a closure (not a module-level class) so workers receive it by value
+    model = StubModel(**kw)
+
+    def complete(prompt):
+        counter.add(1)
+        return model(prompt)
+    return complete
 
 
 def test_failures_are_rows_and_resume_calls_only_pending(spark):
