@@ -106,11 +106,23 @@ def score_to_bucket(score) -> Column:
 def score_frame(df: DataFrame, text_col: str = "text", lex: Lexicon = REFERENCE,
                 detail: bool = False) -> DataFrame:
     """F9 core: add difficulty_score and difficulty_bucket (and the parts if ``detail``)."""
+    if not detail:
+        out = df.select("*", difficulty_score(F.col(text_col), lex).alias("difficulty_score"))
+        return out.withColumn("difficulty_bucket", score_to_bucket("difficulty_score"))
+    # Each rule part is computed once in its own projection and the score is
+    # derived from those columns: the parts are referenced twice below, so
+    # Catalyst keeps the projections apart instead of re-inlining each regex pass.
     t = F.col(text_col)
-    cols = []
-    if detail:
-        cols += [word_count(t).alias("n_words"), F.round(caps_ratio(t), 6).alias("caps_ratio"),
-                 n_groups(t, lex).alias("n_groups"), is_emotional(t, lex).alias("is_emotional"),
-                 is_unusual_length(t, lex).alias("is_unusual_length")]
-    out = df.select("*", *cols, difficulty_score(t, lex).alias("difficulty_score"))
+    parts = df.select("*", word_count(t).alias("n_words"), caps_ratio(t).alias("__caps"),
+                      n_groups(t, lex).alias("n_groups"),
+                      (t.contains("!") | any_substring(t, lex.frustration)).alias("__marks"))
+    s, l = lex.short_words, lex.long_words
+    table = [3, 0] + [2] * max(1, len(lex.groups) - 1)
+    emotional = (F.col("__caps") > lex.caps_threshold) | F.col("__marks")
+    unusual = (F.col("n_words") <= s) | (F.col("n_words") >= l)
+    flags = parts.select("*", emotional.alias("is_emotional"), unusual.alias("is_unusual_length"))
+    score = (F.element_at(F.array(*[F.lit(v) for v in table]), F.col("n_groups") + 1)
+             + F.col("is_emotional").cast("int") + F.col("is_unusual_length").cast("int")).cast("int")
+    out = flags.select(*df.columns, "n_words", F.round("__caps", 6).alias("caps_ratio"), "n_groups",
+                       "is_emotional", "is_unusual_length", score.alias("difficulty_score"))
     return out.withColumn("difficulty_bucket", score_to_bucket("difficulty_score"))
