@@ -9,7 +9,7 @@ from triagelens.functions.lexicon import REFERENCE
 CASES = [
     # text, n_words, n_groups, emotional, unusual, score, bucket
     ("", 0, 0, False, True, 4, "adversarial"),
-    ("MY XBOX WONT TURN ON", 5, 1, True, True, 2, "ambiguous"),
+    ("MY TV WONT TURN ON", 5, 1, True, True, 2, "ambiguous"),
     ("12345 !!!", 2, 0, True, True, 5, "adversarial"),
     ("Élan Über kept the power light on all night long today", 11, 1, False, False, 0, "typical"),
     ("a b c d e", 5, 0, False, True, 4, "adversarial"),
