@@ -129,6 +129,7 @@ def doc_pool(spark, sf):
 
 @register("stratified_sample")
 def q_stratified_sample(spark, sf):
+    # M1; one ranked frame over all strata, so no per-stratum concat (U2) is needed
     return S.stratified_sample(doc_pool(spark, sf), "difficulty_bucket", REFERENCE_TARGETS, "doc_id", FX.SEED)
 
 
@@ -140,6 +141,7 @@ def q_sample_shortfall(spark, sf):
 @register("shuffled_sample")
 def q_shuffled_sample(spark, sf):
     sample = S.stratified_sample(doc_pool(spark, sf), "difficulty_bucket", REFERENCE_TARGETS, "doc_id", FX.SEED)
+    # P3 + P4: golden-set column order with blank label columns
     shaped = sample.select(
         F.col("doc_id").alias("message_id"), "difficulty_bucket", "difficulty_score",
         F.lit(None).cast("string").alias("true_intent"), F.lit(None).cast("string").alias("gold_reply_notes"),
@@ -170,6 +172,7 @@ def q_topup_sample(spark, sf):
 
 @register("score_range_subsample")
 def q_score_range_subsample(spark, sf):
+    # M5: M1 with the judge's overall score as the stratum
     j = FX.judge_scores(spark, sf)
     return S.stratified_sample(j, "judge_overall", 7, "message_id", FX.SEED).select(
         "message_id", "judge_overall", "sample_rank")
@@ -179,6 +182,7 @@ def q_score_range_subsample(spark, sf):
 
 @register("golden_union")
 def q_golden_union(spark, sf):
+    # Labelled batches concatenated by name; n_copies is the duplicate-id check
     g = FX.golden(spark, sf).select("message_id", "difficulty_bucket", "true_intent")
     b = S.stratified_batches(g, "difficulty_bucket", 4, "message_id", FX.SEED)
     parts = [b.where(F.col("batch") == i) for i in range(4)]
@@ -192,6 +196,7 @@ def q_golden_union(spark, sf):
 
 @register("unlabelled_rows")
 def q_unlabelled_rows(spark, sf):
+    # P5: rows whose label is null or blank
     d = FX.docs(spark, sf).select(F.col("doc_id").alias("message_id"), "lang")
     lab = FX.labels(spark, sf).select(F.col("doc_id").alias("message_id"), F.lit("x").alias("__l"))
     joined = d.join(lab, "message_id", "left").withColumn(
