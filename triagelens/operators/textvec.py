@@ -10,9 +10,9 @@ Layout at scale: fitting never shuffles (row, term) pairs. One Generate emits
 each term once per occurrence and once per distinct term of its row, and a
 single partially-aggregated groupBy(term) yields corpus count and document
 frequency together. The vocabulary is capped, so it is broadcast on that proven
-bound and checkpointed (the fitted model). Transforming filters to the
-vocabulary before any shuffle; tf is a groupBy(id, term) and the norm a window
-by id, which leaves the weights partitioned by row id.
+bound and checkpointed (the fitted model). Transforming shuffles the
+input rows once by id; tf (a groupBy(id, term)) and the norm (a window by id)
+reuse that partitioning, which leaves the weights partitioned by row id.
 """
 
 from __future__ import annotations
@@ -68,7 +68,11 @@ def fit(corpus: DataFrame, text_col: str, max_features: int = 5000, checkpoint:
 def transform(model: TfidfModel, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """R1 transform: long table (id, term, weight) over the model's vocabulary."""
     vocab = checked_broadcast(model.vocab.select("term", "idf"), bound=model.max_features)
-    occ = df.select(F.col(id_col), F.explode(terms(F.col(text_col))).alias("term")).join(vocab, "term")
+    # One shuffle of input rows by id: every (id, term) pair of a row then lives in
+    # one partition, so the tf aggregate and the norm window need no exchange of
+    # their own (ids are row keys, so this partitioning has no hot key).
+    rows = df.select(F.col(id_col), F.col(text_col)).repartition(F.col(id_col))
+    occ = rows.select(F.col(id_col), F.explode(terms(F.col(text_col))).alias("term")).join(vocab, "term")
     tf = occ.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"))
     raw = tf.withColumn("raw", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(id_col)))
