@@ -64,7 +64,8 @@ def stratified_sample(df: DataFrame, strata_col: str, targets: dict[str, int] |
     """M1: the first ``targets[s]`` rows of each stratum in seeded order (all if fewer).
 
     ``targets`` is a dict per stratum, or one int for every stratum present.
-    Only sub-buckets that start before the target are read past the count step.
+    Only sub-buckets that start before the target are read past the count step,
+    and rows outside them are filtered by id before the input is recomputed.
     With a dict the kept sub-bucket table is at most len(targets) * 16**digits
     rows, a proven bound for the broadcast; with an int it is counted first.
     The window also carries ``rn <= max target`` so Spark plans a partial
@@ -87,7 +88,11 @@ def stratified_sample(df: DataFrame, strata_col: str, targets: dict[str, int] |
                .where(F.col("__off") < F.col("__target"))
                .drop("__cnt"))
     kept = checked_broadcast(offsets, bound=bound)
-    cand = keyed.join(kept, [strata_col, "__sub"])
+    # The sub-bucket is a function of the id alone, so rows outside every kept
+    # sub-bucket are dropped before the input's own (possibly costly) columns are
+    # computed again: the filter is pushed below them. At most 16**digits values.
+    kept_subs = sorted(r[0] for r in offsets.select("__sub").distinct().collect())
+    cand = keyed.where(F.col("__sub").isin(kept_subs)).join(kept, [strata_col, "__sub"])
     local = Window.partitionBy(strata_col, "__sub").orderBy("__h", id_col)
     ranked = cand.withColumn("__rn", F.row_number().over(local)).where(F.col("__rn") <= max_target)
     return (ranked.withColumn("sample_rank", (F.col("__rn") + F.col("__off")).cast("long"))
