@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import harmonic_packing, ordinal_quality, rule_ledger, secret_entropy, simhash_mih
+from . import (backoff_lm, chat_masks, harmonic_packing, ordinal_quality, rule_ledger, secret_entropy, simhash_mih,
+               url_templates, vafile_search)
 from .common import prepare, read
 
 
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile_search.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    return url_templates.judge(pages).select("page_id", "host", "path", "rule", "verdict", "template")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = rule_ledger.judge(rule_ledger.ledger(read(spark, sf_dir, "documents").select("doc_id", "text")),
                              rule_ledger.POLICIES["v1"])
@@ -35,6 +47,37 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secret_entropy.written(F.col("spans")).alias("spans"))
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    says = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", says), (-1, 1, "assistant", says)],
+                                  "conv_id long, turn long, role string, text string")
+    chats = chat_masks.format_chats(chats.unionByName(extra), public_tokenizers.path("byte_bpe_50k.json"))
+
+    @F.pandas_udf("n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string")
+    def digests(formatted: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, runs in zip(formatted, spans):
+            turns = chat_masks.read_back(text)
+            loss = "".join(chat_masks.unescape(text[r["s"]:r["e"]]) for r in runs)
+            said = "".join(f"{role}\n{body}\n" for role, body in turns)
+            out.append((len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss),
+                        hashlib.sha256(loss.encode()).hexdigest()))
+        return pd.DataFrame(out, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256"])
+
+    rows = chats.select("conv_id", digests("formatted", "loss_spans").alias("d"),
+                        F.char_length("formatted").cast("long").alias("formatted_chars"),
+                        F.size("ids").cast("long").alias("n_ids"),
+                        F.size(F.filter("loss", lambda x: x)).cast("long").alias("n_loss_ids"))
+    return rows.select("conv_id", "d.*", "formatted_chars", "n_ids", "n_loss_ids")
+
+
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    rows = backoff_lm.score(read(spark, sf_dir, "documents"), held)
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = ordinal_quality.fit(docs, ordinal_quality.graded(read(spark, sf_dir, "labels")))
@@ -47,7 +90,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_quality_rules, op4_packing, op5_secret_scan, op9_quality_classifier, op10_simhash)
+    f.__name__: f for f in (op1_exact_topk, op2_url_filter, op3_quality_rules, op4_packing, op5_secret_scan,
+                               op6_chat_formatting, op8_lm_score, op9_quality_classifier, op10_simhash)
 }
 
 
