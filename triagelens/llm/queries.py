@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (backoff_lm, chat_masks, harmonic_packing, ordinal_quality, rule_ledger, secret_entropy, simhash_mih,
-               url_templates, vafile_search)
+from . import (backoff_lm, chat_masks, harmonic_packing, maxplus_sentencepiece, ordinal_quality, rule_ledger,
+               secret_entropy, simhash_mih, url_templates, vafile_search)
 from .common import prepare, read
 
 
@@ -72,6 +72,16 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "d.*", "formatted_chars", "n_ids", "n_loss_ids")
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per chunk: its ids' number and digest, its weight, and the decoded characters' number and digest."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = maxplus_sentencepiece.encode(read(spark, sf_dir, "documents"), model)
+    text = maxplus_sentencepiece.decode(coded, model)
+    return text.select("doc_id", "chunk", (F.length("ids") / 4).cast("long").alias("n_ids"),
+                       F.crc32("ids").alias("ids_crc32"), "weight", F.char_length("text").cast("long").alias("n_chars"),
+                       F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+
+
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
     rows = backoff_lm.score(read(spark, sf_dir, "documents"), held)
@@ -91,7 +101,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_exact_topk, op2_url_filter, op3_quality_rules, op4_packing, op5_secret_scan,
-                               op6_chat_formatting, op8_lm_score, op9_quality_classifier, op10_simhash)
+                               op6_chat_formatting, op7_sentencepiece, op8_lm_score, op9_quality_classifier, op10_simhash)
 }
 
 
