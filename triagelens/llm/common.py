@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,12 +44,17 @@ def words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE_CLASS))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, wherever the optimiser moves the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def where_kept(df: DataFrame, condition: Column) -> DataFrame:
     """``df.where(condition)`` that stays above the projections that compute its columns.
 
-    The optimiser would copy the columns' expressions into a filter below them, where
-    an array built once per row would be built once per element. The row number is not
-    deterministic to the optimiser, so the filter stays where it is."""
+    The optimiser would copy the columns' expressions into a filter below them and compute
+    them twice. The row number is not deterministic to the optimiser, so the filter
+    stays where it is."""
     return df.withColumn("__at", F.monotonically_increasing_id()).where(condition & (F.col("__at") >= 0)).drop("__at")
 
 

@@ -231,14 +231,15 @@ def tails(text: Column, model: OrdinalModel) -> Column:
 
 
 def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", min_tail: float = MIN_TAIL) -> DataFrame:
-    """``docs`` with ``expected_grade``, ``tail_top`` and ``kept``."""
+    """``docs`` with ``expected_grade``, ``tail_top`` and ``kept`` (replacing columns of those names)."""
+    old = [c for c in docs.columns if c not in ("expected_grade", "tail_top", "kept")]
     if not len(model.thresholds):
-        return docs.select("*", F.lit(None).cast("double").alias("expected_grade"),
+        return docs.select(*old, F.lit(None).cast("double").alias("expected_grade"),
                            F.lit(None).cast("double").alias("tail_top"), F.lit(True).alias("kept"))
     rows = docs.select("*", tails(F.col(text_col), model).alias("__t"))
     total = F.aggregate("__t", F.lit(0.0), lambda a, x: a + x)
     top = F.element_at("__t", -1)
-    return rows.select(*[rows[c] for c in docs.columns], total.alias("expected_grade"), top.alias("tail_top"),
+    return rows.select(*[rows[c] for c in old], total.alias("expected_grade"), top.alias("tail_top"),
                        (top >= min_tail).alias("kept"))
 
 

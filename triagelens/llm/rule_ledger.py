@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, where_kept, words
+from .common import SPACE_CHARS, let, where_kept, words
 
 WINDOW = 5  # words of a repeated window
 
@@ -82,44 +82,48 @@ def repeat_cover(windows: Column) -> Column:
                                                     p["i"]))
         return F.array_sort(F.filter(marks, lambda i: i.isNotNull()))
 
-    # transform over a one-element array names the sorted pairs once, so they are built once
-    at = F.transform(F.array(pairs), repeated)[0]
     none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
-    return F.aggregate(at, none, lambda s, i: F.struct(
+    return F.aggregate(let(pairs, repeated), none, lambda s, i: F.struct(
         (s["n"] + i + WINDOW - F.greatest(i, s["end"])).alias("n"), (i + WINDOW).alias("end")), lambda s: s["n"])
 
 
-def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``__m``, a struct of every measurement of the whole text."""
-    text = F.coalesce(F.col("__text"), F.lit(""))
+def window_hashes(hashes: Column) -> Column:
+    """Hash of every window of WINDOW words, by position; empty for shorter texts."""
+    last = F.size(hashes) - WINDOW
+    return F.when(last < 0, F.array().cast("array<bigint>")).otherwise(F.transform(
+        F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
+        lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(WINDOW)])))
+
+
+def measures(text: Column) -> Column:
+    """Struct of every measurement of a whole text. One self-contained expression."""
+    def of(ws: Column, windows: Column, lines: Column) -> Column:
+        repeats = F.size(F.array_distinct(windows)) < F.size(windows)
+        m = {
+            "n_words": F.size(ws),
+            "word_chars": F.aggregate(ws, F.lit(0).cast("long"), lambda n, w: n + F.char_length(w)),
+            "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)),
+            "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+            "n_repeat_words": F.when(repeats, repeat_cover(windows)).otherwise(F.lit(0)),
+            "n_lines": F.size(lines),
+            "n_capitals": F.regexp_count(text, F.lit("[A-Z]")),
+        }
+        return F.struct(*[m[k].cast("long").alias(k) for k in MEASURES])
+
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")
-    rows = docs.select("*", F.col(text_col).alias("__text"))
-    rows = rows.select("*", words(F.col("__text")).alias("__words"), lines.alias("__lines"))
-    rows = rows.select("*", F.transform("__words", lambda w: F.xxhash64(w)).alias("__hashes"))
-    last = F.size("__hashes") - WINDOW
-    windows = F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(
-        *[F.get(F.col("__hashes"), i + k) for k in range(WINDOW)])))
-    rows = rows.select("*", windows.alias("__windows"))
-    repeats = F.size(F.array_distinct("__windows")) < F.size("__windows")
-    m = {
-        "n_words": F.size("__words"),
-        "word_chars": F.aggregate("__words", F.lit(0).cast("long"), lambda n, w: n + F.char_length(w)),
-        "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)),
-        "n_dup_lines": F.size("__lines") - F.size(F.array_distinct("__lines")),
-        "n_repeat_words": F.coalesce(F.when(repeats, repeat_cover(F.col("__windows"))), F.lit(0)),
-        "n_lines": F.size("__lines"),
-        "n_capitals": F.regexp_count(text, F.lit("[A-Z]")),
-    }
-    return rows.select(*[docs[c] for c in docs.columns], F.struct(*[m[k].cast("long").alias(k) for k in MEASURES]).alias("__m"))
+    return let(words(text), lambda ws: let(F.transform(ws, lambda w: F.xxhash64(w)), lambda hs: let(
+        window_hashes(hs), lambda windows: let(lines, lambda ls: of(ws, windows, ls)))))
 
 
 def ledger(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with ``measures`` (struct) and ``failed_bits`` (long, one bit per failed rule)."""
-    rows = measured(docs, text_col)
-    bits = [F.when(r.fails(lambda k: F.col(f"__m.{k}")), F.lit(1 << r.bit)).otherwise(F.lit(0)) for r in rules]
-    total = sum(bits[1:], bits[0])
+    def entry(m: Column) -> Column:
+        bits = [F.when(r.fails(lambda k: m[k]), F.lit(1 << r.bit)).otherwise(F.lit(0)) for r in rules]
+        return F.struct(m.alias("measures"), sum(bits[1:], bits[0]).cast("long").alias("failed_bits"))
+
+    rows = docs.select("*", let(measures(F.coalesce(F.col(text_col), F.lit(""))), entry).alias("__entry"))
     kept = [rows[c] for c in docs.columns if c not in ("measures", "failed_bits")]
-    return rows.select(*kept, F.col("__m").alias("measures"), total.cast("long").alias("failed_bits"))
+    return rows.select(*kept, "__entry.measures", "__entry.failed_bits")
 
 
 def passes(policy: Policy, rules: tuple[Rule, ...] = RULES) -> Column:

@@ -24,6 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 # ---- Fixed values: the contract's kinds, in order, with their patterns ----
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -91,8 +93,7 @@ def located(text: Column, pattern: str) -> Column:
                 (y["s"] + a["at"]).alias("s"), (y["e"] + a["at"]).alias("e"), y["m"].alias("m")))).alias("out")),
             lambda a: a["out"])
 
-    # transform over a one-element array names the pairs once, so they are built once
-    return F.when(text.rlike(pattern), F.transform(F.array(pairs), chain)[0]).otherwise(empty(PLACED))
+    return F.when(text.rlike(pattern), let(pairs, chain)).otherwise(empty(PLACED))
 
 
 def window_entropy(candidate: Column, cls: CharClass, window: int = WINDOW) -> Column:
@@ -119,7 +120,7 @@ def window_entropy(candidate: Column, cls: CharClass, window: int = WINDOW) -> C
 
         return F.aggregate(F.sequence(F.lit(0), F.size(at) - 1), zero, step, lambda a: a["best"])
 
-    return F.transform(F.array(codes), slide)[0]
+    return let(codes, slide)
 
 
 def base_spans(text: Column) -> Column:

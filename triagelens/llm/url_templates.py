@@ -129,13 +129,15 @@ def grow(counts: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, url_col: str = "url", rules: tuple[UrlRule, ...] = RULES, depth: int = DEPTH) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule``, ``template`` and ``verdict``."""
     own = ("host", "path", "rule", "verdict", "template")
-    host, path = host_path(F.col(url_col))
-    rows = pages.select(*[pages[c] for c in pages.columns if c not in own], host.alias("host"), path.alias("path"))
+    kept = [c for c in pages.columns if c not in own]
+    row = F.struct(*[pages[c] for c in kept]) if kept else F.struct(F.lit(0))
+    host, path = host_path(pages[url_col])
+    rows = pages.select(row.alias("row"), host.alias("host"), path.alias("path"))
     name, verdict = matched(F.col("host"), F.col("path"), rules)
-    rows = rows.select("*", name.alias("rule"), verdict.alias("__known"), segments(F.col("path"), depth).alias("segs"))
+    rows = rows.select("*", name.alias("rule"), verdict.alias("known"), segments(F.col("path"), depth).alias("segs"))
     counts = rows.groupBy("host", "segs").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("__known") == "block").alias("blocked"),
-        F.count_if(F.col("__known") == "allow").alias("allowed")).checkpoint(eager=True)
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("known") == "block").alias("blocked"),
+        F.count_if(F.col("known") == "allow").alias("allowed")).checkpoint(eager=True)
     total = counts.agg(F.sum("blocked"), F.sum("allowed")).first()
     rate = (total[0] or 0) / max(1, (total[0] or 0) + (total[1] or 0))
     leaves = grow(counts)
@@ -144,6 +146,6 @@ def judge(pages: DataFrame, url_col: str = "url", rules: tuple[UrlRule, ...] = R
     bad = leaves.groupBy("host", "prefix").agg(((seen >= MIN_LABELLED) & (purity >= REJECT_PURITY)).alias("bad"))
     leaf = leaves.select("host", "segs", "prefix").join(bad, ["host", "prefix"])
     out = rows.join(leaf, ["host", "segs"], "left")
-    decided = F.coalesce("__known", F.when(F.col("bad"), "block").otherwise("allow"))
-    return out.select(*[c for c in pages.columns if c not in own], "host", "path", "rule",
+    decided = F.coalesce("known", F.when(F.col("bad"), "block").otherwise("allow"))
+    return out.select(*[F.col("row")[c].alias(c) for c in kept], "host", "path", "rule",
                       F.col("prefix").alias("template"), decided.alias("verdict"))
