@@ -102,7 +102,7 @@ def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
         entries = probe.withColumn("entry", F.col("fp"))
     else:
         masks = F.array(*[F.lit(m).cast("long") for m in ball(max_bits // 2)])
-        entries = probe.withColumn("entry", F.when(F.array_contains(masks, F.col("fp").bitwiseXOR("key")), F.col("fp")))
+        entries = probe.withColumn("entry", F.when(F.array_contains(masks, F.col("fp").bitwiseXOR(F.col("key"))), F.col("fp")))
     hub = F.min("entry").over(Window.partitionBy("key"))
     return (entries.withColumn("hub", hub).where("hub is not null and hub <> fp").select("fp", "hub")
             .where(distance(F.col("fp"), F.col("hub")) <= max_bits).distinct())
