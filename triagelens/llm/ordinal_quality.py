@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FIT_ROWS = 12_000        # labelled documents fitted at most
+FIT_ROWS = 10_000        # labelled documents fitted at most
 MAX_FEATURES = 1 << 17   # weights kept at most
 MIN_DOCS = 4             # fitted documents a feature must be in
 MIN_TAIL = 0.5           # P(grade >= top) of a kept document

@@ -3,9 +3,10 @@
 Known rules (host and path prefix) judge the urls they fit and label them. The other
 urls are judged by the template their path falls in. Templates come from a tree per
 host, grown level by level: segments of a variable form (numbers, hex, long strings)
-become wildcards at once; at every node, branches that are rare among many siblings,
-or whose labelled block rate and remaining depth do not differ from their siblings'
-by a two-proportion test, merge into the node's wildcard branch. A template is
+become the wildcard at once, and so do branches that are rare among many siblings.
+Siblings of about one labelled block rate (tenths) and one remaining depth form a
+cluster, and a branch whose rate does not differ from its cluster's by a two-proportion
+test merges into the cluster's wildcard (``*`` and the tenths). A template is
 rejected when its block purity, smoothed towards the corpus rate, reaches
 ``REJECT_PURITY`` on at least ``MIN_LABELLED`` labelled urls; others are allowed.
 
@@ -31,7 +32,6 @@ DEPTH = 4             # levels of the tree; what lies deeper is one wildcard
 MAX_LITERALS = 20     # children beyond which rare ones merge
 MIN_SHARE = 0.02      # share of a node's urls that keeps a branch literal among many
 SIMILAR_Z = 1.96      # two-proportion test of merging
-SIMILAR_DEPTH = 0.5   # mean remaining depth may differ by this much in a merge
 PRIOR_WEIGHT = 4.0    # pseudo-urls of the corpus rate
 MIN_LABELLED = 5
 REJECT_PURITY = 0.95
@@ -94,25 +94,28 @@ def segments(path: Column, depth: int) -> Column:
 
 
 def level(rows: DataFrame, i: int) -> DataFrame:
-    """Move ``prefix`` of every row one segment down: literal, or ``*`` where branches merge."""
+    """Move ``prefix`` of every row one segment down: literal, or a wildcard where branches merge."""
     key = ["host", "prefix"]
     seg = rows.where(F.size("segs") > i).withColumn("seg", F.col("segs")[i])
     done = rows.where(F.size("segs") <= i)
     left = (F.size("segs") - i) * F.col("n")
     kids = seg.groupBy(*key, "seg").agg(F.sum("n").alias("kn"), F.sum("blocked").alias("kb"), F.sum("allowed").alias("ka"),
                                         F.sum(left).alias("kd"))
-    node = kids.groupBy(*key).agg(F.count(F.lit(1)).alias("width"), F.sum("kn").alias("pn"), F.sum("kb").alias("pb"),
-                                  F.sum("ka").alias("pa"), F.sum("kd").alias("pd"))
-    labelled, others = F.col("kb") + F.col("ka"), F.col("pb") + F.col("pa") - F.col("kb") - F.col("ka")
-    both = F.col("pb") / (F.col("pb") + F.col("pa"))
-    gap = F.abs(F.col("kb") / labelled - (F.col("pb") - F.col("kb")) / others)
-    error = F.sqrt(both * (1 - both) * (1 / labelled + 1 / others))
-    deeper = F.abs(F.col("kd") / F.col("kn") - (F.col("pd") - F.col("kd")) / (F.col("pn") - F.col("kn")))
-    similar = F.when((labelled > 0) & (others > 0) & (F.col("pn") > F.col("kn")),
-                     (gap <= SIMILAR_Z * error) & (deeper <= SIMILAR_DEPTH)).otherwise(F.lit(False))
+    labelled = F.col("kb") + F.col("ka")
+    # branches of about one block rate and one remaining depth form a cluster of their node
+    kids = kids.withColumn("rate", F.round(10 * F.col("kb") / F.nullif(labelled, F.lit(0))).cast("int")).withColumn(
+        "shape", F.round(F.col("kd") / F.col("kn")).cast("int"))
+    node = kids.groupBy(*key).agg(F.count(F.lit(1)).alias("width"), F.sum("kn").alias("pn"))
+    cluster = kids.where("rate is not null").groupBy(*key, "rate", "shape").agg(F.sum("kb").alias("cb"), F.sum("ka").alias("ca"))
+    others = F.col("cb") + F.col("ca") - labelled
+    pooled = F.col("cb") / (F.col("cb") + F.col("ca"))
+    gap = F.abs(F.col("kb") / labelled - (F.col("cb") - F.col("kb")) / others)
+    error = F.sqrt(pooled * (1 - pooled) * (1 / labelled + 1 / others))
+    similar = F.when((labelled > 0) & (others > 0), gap <= SIMILAR_Z * error).otherwise(F.lit(False))
     rare = (F.col("width") > MAX_LITERALS) & (F.col("kn") < MIN_SHARE * F.col("pn"))
-    name = F.when(F.col("seg").startswith("{") | rare | similar, "*").otherwise(F.col("seg"))
-    named = kids.join(node, key).select(*key, "seg", name.alias("name"))
+    name = (F.when(F.col("seg").startswith("{") | rare, "*")
+            .when(similar, F.concat(F.lit("*"), F.col("rate").cast("string"))).otherwise(F.col("seg")))
+    named = kids.join(node, key).join(cluster, [*key, "rate", "shape"], "left").select(*key, "seg", name.alias("name"))
     moved = seg.join(named, [*key, "seg"]).withColumn("prefix", F.concat("prefix", F.lit("/"), "name"))
     return moved.select(*rows.columns).unionByName(done)
 
