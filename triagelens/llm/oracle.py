@@ -31,3 +31,44 @@ b AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (bits & 3) <> 0 AS base_failed,
   bits = 0 AS kept, bits::BIGINT AS failed_bits FROM b
 """
+
+SQL["op1_exact_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+SQL["op8_lm_score"] = r"""
+WITH k AS (
+  SELECT doc_id, coalesce(text, '') AS t, list_prepend(4294967295::BIGINT, flatten(list_transform(
+    string_split(doc_id::VARCHAR, ''), lambda ch: list_transform(range(8), lambda j: (ascii(ch)::BIGINT >> j) & 1)))) AS bits
+  FROM documents),
+d AS (
+  SELECT doc_id, xor(list_reduce(bits, lambda c, b: xor(c >> 1, ((c & 1) <> b)::BIGINT * 3988292384)), 4294967295) % 5 = 1 AS held,
+    list_append(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[^\x20\x09-\x0D]+'), ' end') AS ts FROM k),
+t AS (SELECT doc_id, held, unnest(ts) AS w, generate_subscripts(ts, 1) AS i FROM d),
+b AS (SELECT *, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY i), ' start') AS h FROM t),
+uc AS (SELECT w, count(*) AS c FROM t WHERE NOT held GROUP BY w),
+n AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM uc),
+st AS (SELECT w AS h, c FROM uc UNION ALL SELECT ' start', count(*) FROM d WHERE NOT held),
+bc AS (SELECT h, w, count(*) AS c FROM b WHERE NOT held GROUP BY h, w),
+f AS (
+  SELECT floor(log2(st.c)) AS tag, (sum(CASE WHEN bc.c = 1 THEN 1 ELSE 0 END) + 0.5) / (sum(bc.c) + 1.0) AS fb
+  FROM bc JOIN st USING (h) GROUP BY tag),
+p AS (
+  SELECT b.doc_id, b.held, n.n, coalesce(uc.c, 0) AS c, (coalesce(uc.c, 0) + 0.5) / (n.n + 0.5 * (n.v + 1)) AS pu,
+    coalesce(bc.c, 0) / greatest(coalesce(st.c, 0), 1) AS seen, coalesce(f.fb, 1.0) AS fb
+  FROM b CROSS JOIN n LEFT JOIN uc ON uc.w = b.w LEFT JOIN st ON st.h = b.h LEFT JOIN bc ON bc.h = b.h AND bc.w = b.w
+  LEFT JOIN f ON st.c > 0 AND f.tag = floor(log2(st.c)))
+SELECT doc_id, held AS held_out, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, n AS train_tokens,
+  sum(log10(pu)) AS base_score, sum(log10((1 - fb) * seen + fb * pu)) AS score
+FROM p GROUP BY doc_id, held, n
+"""
