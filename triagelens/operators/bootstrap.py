@@ -24,10 +24,13 @@ from .sampling import stratified_rank
 from .util import checked_broadcast, r6
 
 
-def _hash_u32(*parts) -> F.Column:
-    """First 8 hex chars of md5 over 'p0:p1:...' as a non-negative integer."""
+HASH_DIGITS = 15  # hex digits of a draw: 2^60 values, so no row count in reach biases or bounds the index
+
+
+def _hash_int(*parts) -> F.Column:
+    """First HASH_DIGITS hex chars of md5 over 'p0:p1:...' as a non-negative integer."""
     s = F.concat_ws(":", *[p if isinstance(p, F.Column) else F.lit(str(p)) for p in parts])
-    return F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(s), 1, HASH_DIGITS), 16, 10).cast("long")
 
 
 def _interval(reps: DataFrame, mean_col, ci: float, n_boot: int, n_col) -> DataFrame:
@@ -51,7 +54,7 @@ def bootstrap_ci(df: DataFrame, value_col: str, id_col: str, n_boot: int = 2000,
         ranked = stratified_rank(vals.withColumn("__one", F.lit(1)), ["__one"], id_col, seed, "__rk")
         ranked = ranked.select((F.col("__rk") - 1).alias("idx"), "x")
         draws = ranked.repartition(width).select(F.col("idx").alias("i"), replicates).select(
-            "b", (_hash_u32(seed, F.col("b"), F.col("i")) % n).alias("idx"))
+            "b", (_hash_int(seed, F.col("b"), F.col("i")) % n).alias("idx"))
         # n value rows against n_boot * n draws: the values side is broadcast on its counted size
         values = checked_broadcast(ranked, bound=int(vals.select(F.count(F.lit(1))).first()[0]))
         reps = draws.join(values, "idx").groupBy("b").agg(F.avg("x").alias("m"))
@@ -63,7 +66,7 @@ def bootstrap_ci(df: DataFrame, value_col: str, id_col: str, n_boot: int = 2000,
             term /= (k + 1)
         # the hashed uniform is its own projection, so md5 runs once per draw
         draws = vals.repartition(width).select(id_col, "x", replicates).select(
-            "b", "x", (_hash_u32(seed, F.col("b"), F.col(id_col)) / float(2 ** 32)).alias("u"))
+            "b", "x", (_hash_int(seed, F.col("b"), F.col(id_col)) / float(16 ** HASH_DIGITS)).alias("u"))
         w = sum((F.col("u") >= c).cast("int") for c in cdf)
         weighted = draws.select("b", "x", w.alias("w"))
         reps = (weighted.groupBy("b").agg(F.sum(F.col("w") * F.col("x")).alias("sx"), F.sum("w").alias("sw"))

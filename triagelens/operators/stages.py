@@ -2,12 +2,12 @@
 
 A stage turns a prompt column into raw model text with a caller-supplied
 ``complete(prompt) -> str``. The call runs inside ``mapInPandas`` (Arrow
-batches, one Python worker per task) with a retry loop per row; a row that
-still fails becomes a row with status 'failed' and the error text, so one bad
-row never fails the job.
+batches, one Python worker per task) with a retry loop per row, over calls that
+raise and replies that cannot be parsed; a row that still fails becomes a row
+with status 'failed' and the error text, so one bad row never fails the job.
 
-Each stage appends its output as Parquet to a stage table under the session's
-checkpoint dir (shared storage on a cluster). Resume = anti join of the
+Each stage appends its output as Parquet, slice by slice, to a stage table under
+the session's checkpoint dir (shared storage on a cluster). Resume = anti join of the
 stage's input against rows already done, so a re-run only calls the model for
 pending rows; the latest row per key wins (max_by written_at). Writing each
 stage before the next one reads it also bounds repeated model calls when a
@@ -18,46 +18,59 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
+from ..functions.responses import reply_error
 from ..session import scratch_path
-from ..sources.readers import read_stage_table
+from ..sources.readers import path_exists, read_stage_table
+
+SLICES = 2  # commits per stage run
 
 CALL_FIELDS = [StructField("raw", StringType()), StructField("attempts", IntegerType()),
                StructField("call_error", StringType())]
 
 
-def call_model(df: DataFrame, key_col: str, prompt_col: str, complete: Callable[[str], str],
-               max_attempts: int = 3, backoff_sec: float = 0.0) -> DataFrame:
-    """G1: raw text, attempts and error per row; retries happen inside the task."""
+def call_model(df: DataFrame, key_col: str, prompt_col: str, complete: Callable[..., str],
+               max_attempts: int = 3, backoff_sec: float = 0.0, check: Callable[[str], str | None] | None = reply_error,
+               parallelism: int | None = None, threads: int = 1) -> DataFrame:
+    """G1: raw text, attempts and error per row; retries happen inside the task.
+
+    A reply is tried again when the call raises or when ``check`` names an error in it;
+    the last reply is kept either way. Rows are dealt by key to ``parallelism`` tasks
+    (the cores by default) and each task has ``threads`` calls in the air. A ``complete``
+    with ``takes_attempt`` gets the attempt's number as its second argument."""
     key_field = df.schema[key_col]
     out_schema = StructType([StructField(key_col, key_field.dataType, key_field.nullable), *CALL_FIELDS])
+    numbered = getattr(complete, "takes_attempt", False)
+
+    def one(prompt: str) -> tuple[str | None, int, str | None]:
+        raw, err = None, None
+        for n in range(1, max_attempts + 1):
+            try:
+                raw = complete(prompt, n) if numbered else complete(prompt)
+                err = None
+                if check is None or check(raw) is None:
+                    break
+            except Exception as e:  # noqa: BLE001 - a failed call is data
+                raw, err = None, f"{type(e).__name__}: {e}"
+            if backoff_sec and n < max_attempts:
+                time.sleep(backoff_sec * n)
+        return raw, n, err
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            raws, attempts, errors = [], [], []
-            for prompt in pdf[prompt_col]:
-                raw, err, n = None, None, 0
-                while n < max_attempts:
-                    n += 1
-                    try:
-                        raw = complete(prompt)
-                        err = None
-                        break
-                    except Exception as e:  # noqa: BLE001 - a failed call is data
-                        err = f"{type(e).__name__}: {e}"
-                        if backoff_sec:
-                            time.sleep(backoff_sec * n)
-                raws.append(raw)
-                attempts.append(n)
-                errors.append(err)
-            yield pd.DataFrame({key_col: pdf[key_col], "raw": raws, "attempts": attempts, "call_error": errors})
-
-    return df.select(key_col, prompt_col).mapInPandas(run, out_schema)
+        with ThreadPoolExecutor(max_workers=threads) as pool:
+            for pdf in batches:
+                done = list(pool.map(one, pdf[prompt_col]))
+                raws, attempts, errors = zip(*done) if done else ((), (), ())
+                yield pd.DataFrame({key_col: pdf[key_col], "raw": raws, "attempts": attempts, "call_error": errors})
+
+    width = parallelism or df.sparkSession.sparkContext.defaultParallelism
+    return df.select(key_col, prompt_col).repartition(width, key_col).mapInPandas(run, out_schema)
 
 
 class StageStore:
@@ -71,9 +84,16 @@ class StageStore:
         return f"{self.base}/{stage}"
 
     def append(self, stage: str, df: DataFrame, run_id: int) -> None:
-        """K3: one append per stage run (never per row)."""
+        """K3: one append per slice (never per row)."""
         df.withColumn("written_at", F.lit(run_id).cast("long")).write.mode("append").parquet(self.path(stage))
 
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A side table of the run: written the first time, read from then on."""
+        path = self.path(name)
+        if not path_exists(self.spark, f"{path}/_SUCCESS"):
+            make().write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
     def read(self, stage: str, schema: StructType) -> DataFrame:
         """Empty frame of the stage schema if nothing was written yet."""
         return read_stage_table(self.spark, self.path(stage),
@@ -96,17 +116,21 @@ def pending(inputs: DataFrame, done: DataFrame, key_col: str, ok_col: str = "sta
 
 def run_stage(store: StageStore, stage: str, inputs: DataFrame, key_col: str, prompt_col: str,
               complete: Callable[[str], str], finish: Callable[[DataFrame], DataFrame],
-              out_schema: StructType, run_id: int | None = None, max_attempts: int = 3) -> DataFrame:
+              out_schema: StructType, run_id: int | None = None, max_attempts: int = 3,
+              slices: int = SLICES, **call_kw) -> DataFrame:
     """Run one stage for pending rows, append, and return the latest table.
 
     ``finish`` turns (key, raw, attempts, call_error) into the stage's typed
-    columns; it must add ``status`` ('ok' / 'failed') and match ``out_schema``.
+    columns; it must add ``status`` ('ok' / 'failed') and match ``out_schema``. The
+    pending rows go in ``slices`` by the hash of their key, each appended when it is
+    done (K3): a stage that dies keeps every finished slice.
     """
     run_id = run_id if run_id is not None else int(time.time() * 1000)
     done = store.latest(stage, out_schema, key_col)
     todo = pending(inputs, done, key_col)
-    called = call_model(todo, key_col, prompt_col, complete, max_attempts)
-    finished = finish(called).select(*[f.name for f in out_schema.fields])
-    store.append(stage, finished, run_id)
+    for i in range(slices):
+        some = todo.where(F.pmod(F.hash(key_col), F.lit(slices)) == i) if slices > 1 else todo
+        called = call_model(some, key_col, prompt_col, complete, max_attempts, **call_kw)
+        finished = finish(called).select(*[f.name for f in out_schema.fields])
+        store.append(stage, finished, run_id)
     return store.latest(stage, out_schema, key_col)
-

@@ -58,8 +58,8 @@ def scored(src: str, id_col: str, lex: Lexicon, extra: str = "") -> str:
 
 DOC_SCORED = scored("documents", "doc_id", DOCUMENTS_LEXICON)
 
-MSGS = """(select conv_id * 1000 + turn as tweet_id, role as author_id, role = 'user' as inbound, text,
-          case when turn > 0 then conv_id * 1000 + turn - 1 end as in_response_to_tweet_id
+MSGS = """(select printf('%d:%d', conv_id, turn) as tweet_id, role as author_id, role = 'user' as inbound, text,
+          case when turn > 0 then printf('%d:%d', conv_id, turn - 1) end as in_response_to_tweet_id
    from conversations)"""
 
 REPLIES = f"""(select * from {MSGS} where author_id = '{FX.BRAND}' and inbound = false
@@ -335,7 +335,7 @@ SQL["bootstrap_ci"] = f"""
 with v as (select doc_id, quality::double as x from labels where quality is not null),
 r as (select x, row_number() over (order by md5(concat('{FX.SEED}:', doc_id)), doc_id) - 1 as idx from v),
 n as (select count(*) as n, avg(x) as m from v),
-d as (select b.range as b, (('0x' || substr(md5(concat('{FX.SEED}:', b.range, ':', r.idx)), 1, 8))::bigint) % n.n as idx
+d as (select b.range as b, (('0x' || substr(md5(concat('{FX.SEED}:', b.range, ':', r.idx)), 1, 15))::bigint) % n.n as idx
       from range(2000) b, r, n),
 reps as (select d.b, avg(r.x) as m from d join r on d.idx = r.idx group by d.b)
 select round(max(n.m), 6) as mean, round(quantile_cont(reps.m, 0.025), 6) as ci_low,
@@ -347,7 +347,7 @@ SQL["bootstrap_ci_poisson"] = f"""
 with v as (select doc_id, quality::double as x from labels where quality is not null),
 n as (select count(*) as n, avg(x) as m from v),
 u as (select b.range as b, v.x,
-             (('0x' || substr(md5(concat('{FX.SEED}:', b.range, ':', v.doc_id)), 1, 8))::bigint) / 4294967296.0::double as u
+             (('0x' || substr(md5(concat('{FX.SEED}:', b.range, ':', v.doc_id)), 1, 15))::bigint)::double / 1152921504606846976.0::double as u
       from range(2000) b, v),
 w as (select b, x, {_w} as w from u),
 reps as (select b, sum(w * x) / sum(w) as m from w group by b)
@@ -390,13 +390,15 @@ def vocab_sql(src: str, text_col: str, max_features: int = 5000) -> str:
 
 
 def topk_sql(q_src, qid, qtext, p_src, pid, ptext, k=3) -> str:
+    """k hits per query: shared terms first, then rows of similarity 0, ties by pool id."""
     v = vocab_sql(p_src, ptext)
     return f"""(select * from (
-      select qid, pid, sim_raw, round(sim_raw, 6) as similarity,
-             row_number() over (partition by qid order by round(sim_raw, 6) desc, pid) as rank
-      from (select q.id as qid, p.id as pid, sum(q.weight * p.weight) as sim_raw
+      select a.qid, a.pid, coalesce(s.sim_raw, 0.0) as sim_raw, round(coalesce(s.sim_raw, 0.0), 6) as similarity,
+             row_number() over (partition by a.qid order by s.sim_raw is null, round(coalesce(s.sim_raw, 0.0), 6) desc, a.pid) as rank
+      from (select q0.{qid} as qid, p0.{pid} as pid from {q_src} q0 cross join {p_src} p0) a
+      left join (select q.id as qid, p.id as pid, sum(q.weight * p.weight) as sim_raw
             from {weights_sql(q_src, qid, qtext, v)} q join {weights_sql(p_src, pid, ptext, v)} p using (term)
-            group by 1, 2))
+            group by 1, 2) s using (qid, pid))
     where rank <= {k})"""
 
 

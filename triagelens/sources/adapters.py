@@ -8,22 +8,23 @@ from pyspark.sql import functions as F
 from ..functions.difficulty import score_frame
 from ..functions.lexicon import DOCUMENTS_LEXICON, Lexicon
 
-TURN_BASE = 1000  # message id = conv_id * TURN_BASE + turn (turns stay below TURN_BASE)
-
-
-def messages_from_conversations(conv: DataFrame, turn_base: int = TURN_BASE) -> DataFrame:
+def messages_from_conversations(conv: DataFrame) -> DataFrame:
     """Raw-message shape: ``tweet_id, author_id, inbound, text, in_response_to_tweet_id``.
 
-    author = role, inbound = (role = 'user'), link = the previous turn of the
+    A message's id is the string ``conv_id:turn``, so conversations of any length keep
+    apart. author = role, inbound = (role = 'user'), link = the previous turn of the
     same conversation (null at turn 0). Pure projection: no shuffle.
     """
-    mid = F.col("conv_id") * turn_base + F.col("turn")
+    def mid(turn):
+        return F.concat(F.col("conv_id").cast("string"), F.lit(":"), turn.cast("string"))
+
+    turn = F.col("turn")
     return conv.select(
-        mid.alias("tweet_id"),
+        mid(turn).alias("tweet_id"),
         F.col("role").alias("author_id"),
         (F.col("role") == "user").alias("inbound"),
         F.col("text"),
-        F.when(F.col("turn") > 0, mid - 1).cast("long").alias("in_response_to_tweet_id"),
+        F.when(turn > 0, mid(turn - 1)).alias("in_response_to_tweet_id"),
     )
 
 

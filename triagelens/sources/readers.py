@@ -74,14 +74,17 @@ def read_id_sets(spark: SparkSession, path_glob: str, schema: StructType,
     return read_csv(spark, path_glob, schema, [id_col]).where(F.col(id_col).isNotNull()).distinct()
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath)
+
+
 def read_stage_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """A stage table if it exists, else an empty frame of the same schema."""
-    jvm = spark.sparkContext._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(jpath):
+    """A stage table, or an empty frame of the same schema when it does not exist or
+    holds no readable file (a first write that died)."""
+    if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(path)
 
 
 def profile(df: DataFrame) -> DataFrame:
