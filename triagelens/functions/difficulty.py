@@ -100,8 +100,8 @@ def difficulty_score(text, lex: Lexicon = REFERENCE) -> Column:
 def score_to_bucket(score) -> Column:
     """F8. A null score (null text) has no bucket."""
     names = ["typical", "edge", "ambiguous"] + ["adversarial"] * 4
-    capped = F.when(_c(score) > 6, F.lit(6)).otherwise(_c(score))
-    return F.element_at(F.array(*[F.lit(v) for v in names]), capped + 1)
+    # asked for by name: element_at is never null to the optimiser over an array without nulls
+    return F.when(_c(score).isNotNull(), F.element_at(F.array(*[F.lit(v) for v in names]), F.least(_c(score), F.lit(6)) + 1))
 
 
 def score_frame(df: DataFrame, text_col: str = "text", lex: Lexicon = REFERENCE,

@@ -1,9 +1,8 @@
 """Agreement between two raters.
 
 Both score tables are joined on the item id once, unpivoted to
-(dimension, judge, human), and a single grouped aggregation yields exact and
-within-1 agreement, correlation and bias for every dimension; Cohen's kappa
-adds two small label-count aggregations.
+(dimension, judge, human) and counted per cell of scores. Agreement, correlation,
+bias and Cohen's kappa of every dimension are sums over those few counts.
 """
 
 from __future__ import annotations
@@ -34,31 +33,33 @@ def unmatched_count(judge: DataFrame, human: DataFrame, id_col: str):
             .select(F.count(F.lit(1))).scalar())
 
 
-def kappa_table(longf: DataFrame) -> DataFrame:
-    """Unweighted Cohen's kappa per dimension; null when expected agreement is 1."""
-    n = longf.groupBy("dimension").agg(F.count(F.lit(1)).alias("__n"),
-                                       F.avg((F.col("judge") == F.col("human")).cast("double")).alias("__po"))
-    jc = longf.groupBy("dimension", F.col("judge").alias("label")).agg(F.count(F.lit(1)).alias("__nj"))
-    hc = longf.groupBy("dimension", F.col("human").alias("label")).agg(F.count(F.lit(1)).alias("__nh"))
-    pe = (jc.join(hc, ["dimension", "label"]).groupBy("dimension")
-          .agg(F.sum(F.col("__nj") * F.col("__nh")).alias("__s")))
-    out = n.join(pe, "dimension", "left").withColumn(
-        "__pe", F.coalesce(F.col("__s"), F.lit(0)) / (F.col("__n") * F.col("__n")))
-    kappa = F.when(F.col("__pe") >= 1.0, None).otherwise((F.col("__po") - F.col("__pe")) / (1 - F.col("__pe")))
-    return out.select("dimension", r6(kappa).alias("cohen_kappa"))
-
-
 def agreement(longf: DataFrame, n_unmatched=None) -> DataFrame:
-    """A14, A15, A17, A18 (+ A16 joined in): one row per dimension."""
-    j, h = F.col("judge").cast("double"), F.col("human").cast("double")
-    stats = longf.groupBy("dimension").agg(
-        F.count(F.lit(1)).alias("n"),
-        r6(F.avg((j == h).cast("double"))).alias("exact_agreement"),
-        r6(F.avg((F.abs(j - h) <= 1).cast("double"))).alias("within_1_agreement"),
-        # null when either rater is constant (ANSI-safe; corr() would divide by zero)
-        r6(F.try_divide(F.covar_pop(j, h), F.stddev_pop(j) * F.stddev_pop(h))).alias("correlation"),
-        r6(F.avg(j - h)).alias("bias"))
-    out = stats.join(kappa_table(longf), "dimension")
+    """One row per dimension, from one count per (dimension, judge, human) cell.
+
+    Scores are few whole numbers, so the cells are few and every figure is a sum over
+    them; sums of whole numbers are exact, so a constant rater has variance zero exactly
+    and its correlation is null. Kappa is null when expected agreement is 1."""
+    cells = (longf.where(F.col("judge").isNotNull() & F.col("human").isNotNull())
+             .groupBy("dimension", "judge", "human").agg(F.count(F.lit(1)).alias("c")))
+    j, h, c = F.col("judge").cast("double"), F.col("human").cast("double"), F.col("c")
+    total = lambda x, name: F.sum(c * x).alias(name)
+    sums = cells.groupBy("dimension").agg(
+        F.sum("c").alias("n"), total((j == h).cast("int"), "same"), total((F.abs(j - h) <= 1).cast("int"), "near"),
+        total(j, "sj"), total(h, "sh"), total(j * j, "sjj"), total(h * h, "shh"), total(j * h, "sjh"))
+    marks = cells.select("dimension", "c", F.explode(F.array(
+        F.struct(F.col("judge").alias("label"), F.lit(1).alias("by_judge")),
+        F.struct(F.col("human").alias("label"), F.lit(0).alias("by_judge")))).alias("m"))
+    expected = (marks.groupBy("dimension", "m.label").agg(
+        (F.sum(c * F.col("m.by_judge")) * F.sum(c * (1 - F.col("m.by_judge")))).alias("p"))
+        .groupBy("dimension").agg(F.sum("p").alias("pe")))
+    n = F.col("n")
+    vj, vh = n * F.col("sjj") - F.col("sj") ** 2, n * F.col("shh") - F.col("sh") ** 2
+    pe = F.col("pe") / (n * n)
+    out = sums.join(expected, "dimension").select(
+        "dimension", "n", r6(F.col("same") / n).alias("exact_agreement"), r6(F.col("near") / n).alias("within_1_agreement"),
+        r6(F.when((vj > 0) & (vh > 0), (n * F.col("sjh") - F.col("sj") * F.col("sh")) / F.sqrt(vj * vh))).alias("correlation"),
+        r6((F.col("sj") - F.col("sh")) / n).alias("bias"),
+        r6(F.when(pe < 1.0, (F.col("same") / n - pe) / (1 - pe))).alias("cohen_kappa"))
     if n_unmatched is not None:
         out = out.withColumn("n_unmatched", n_unmatched)
     return out

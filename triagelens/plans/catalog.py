@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import prompts as PR
 from ..functions import responses as RS
@@ -27,8 +28,9 @@ from ..operators.util import r6
 from ..operators.stages import StageStore
 from ..session import scratch_path
 from ..sources import sinks as K
-from ..sources.readers import profile, read_csv
+from ..sources.readers import profile, read_csv, read_id_sets
 from ..sources.schemas import GOLDEN as GOLDEN_SCHEMA
+from ..sources.schemas import POOL as POOL_SCHEMA
 from . import agent_run as AR
 from . import fixtures as FX
 from .stub_model import StubModel
@@ -478,6 +480,41 @@ def q_csv_roundtrip(spark, sf):
                        "true_escalate")
 
 
+@register("pool_roundtrip")
+def q_pool_roundtrip(spark, sf):
+    """The retrieval pool stored as Parquet and read back with its declared schema."""
+    path = f"{scratch_path(spark, 'pool')}/retrieval_pool"
+    K.write_parquet(conv_retrieval_pool(spark, sf, flag=False).select(*POOL_SCHEMA.names), path)
+    return spark.read.schema(POOL_SCHEMA).parquet(path)
+
+
+@register("exclusion_ids")
+def q_exclusion_ids(spark, sf):
+    """S3 + U1: golden ids collected from every export, whose columns differ, and one unreadable file."""
+    base = scratch_path(spark, "exports")
+    ids = conv_golden_ids(spark, sf).withColumn("half", F.pmod(F.xxhash64("message_id"), F.lit(2)))
+    K.write_csv(ids.where("half = 0").select("message_id", F.lit("typical").alias("difficulty_bucket")), f"{base}/golden_set_a")
+    K.write_csv(ids.select(F.lit("a \"b\",\nc").alias("text"), F.lit(1).alias("created_at"), "message_id"), f"{base}/golden_set_b")
+    K.write_csv(ids.select(F.lit("no id here").alias("notes")).limit(1), f"{base}/golden_set_c")
+    schema = StructType([StructField("message_id", StringType())])
+    return read_id_sets(spark, f"{base}/golden_set*", schema)
+
+
+@register("label_events")
+def q_label_events(spark, sf):
+    """K5 + J5: label events stored one batch after another; the latest per id is the label."""
+    path = f"{scratch_path(spark, 'labels')}/events"
+    lab = FX.labels(spark, sf)
+    first = lab.select(F.col("doc_id").alias("message_id"), (F.col("toxic") == 1).alias("true_escalate"), F.lit(1).alias("written_at"))
+    K.write_parquet(first, path, mode="append")
+    again = first.where(F.col("message_id") % 7 == 0).select("message_id", (~F.col("true_escalate")).alias("true_escalate"),
+                                                               F.lit(2).alias("written_at"))
+    K.write_parquet(again, path, mode="append")
+    return (spark.read.schema(first.schema).parquet(path).groupBy("message_id")
+            .agg(F.max_by("true_escalate", "written_at").alias("true_escalate"), F.max("written_at").alias("written_at"),
+                 F.count(F.lit(1)).alias("n_events")))
+
+
 # ---------------------------------------------------------------- model stages (rows-only checks)
 
 def _agent(spark, sf):

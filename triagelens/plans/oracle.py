@@ -523,3 +523,10 @@ from t left join e using (doc_id)"""
 
 SQL["csv_roundtrip"] = f"""
 select message_id, text, difficulty_bucket, difficulty_score, true_intent, true_escalate from {GOLDEN}"""
+
+SQL["pool_roundtrip"] = f"select cust_tweet_id, cust_text, brand_reply from {CONV_POOL}"
+SQL["exclusion_ids"] = f"select distinct message_id from {CONV_GOLDEN_IDS}"
+SQL["label_events"] = """
+select doc_id as message_id, case when doc_id % 7 = 0 then toxic <> 1 else toxic = 1 end as true_escalate,
+       case when doc_id % 7 = 0 then 2 else 1 end as written_at, case when doc_id % 7 = 0 then 2 else 1 end::bigint as n_events
+from labels"""

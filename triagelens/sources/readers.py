@@ -7,9 +7,11 @@ task, so writers in this package emit many part files to keep reads parallel.
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .schemas import DRIVER_TABLES
 
@@ -48,30 +50,66 @@ def spread_small(df: DataFrame) -> DataFrame:
     return df
 
 
+def csv_headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """Column names -> files with that header, for every file under a path or glob.
+
+    Reads one line per file on the driver; the files are exports, not a lake."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(conf)
+    out: dict[tuple[str, ...], list[str]] = {}
+    todo = list(fs.globStatus(jpath) or [])
+    while todo:
+        status = todo.pop()
+        name = status.getPath().getName()
+        if name.startswith(("_", ".")):
+            continue
+        if status.isDirectory():
+            todo.extend(fs.listStatus(status.getPath()))
+            continue
+        stream = fs.open(status.getPath())
+        try:
+            line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
+        finally:
+            stream.close()
+        header = tuple(h.strip().lstrip("\ufeff") for h in next(csv.reader([line]), [])) if line else ()
+        out.setdefault(header, []).append(status.getPath().toString())
+    return out
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType, columns=None,
-             permissive: bool = True) -> DataFrame:
-    """CSV scan with an explicit schema and optional projection.
+             permissive: bool = True, required: tuple[str, ...] = ()) -> DataFrame:
+    """CSV scan with declared types, columns taken by name.
 
-    ``path`` may be a glob (S3). Unreadable rows are kept as nulls (PERMISSIVE) and
-    unreadable files are skipped, as the reference skips files it cannot parse.
+    ``path`` may be a glob (S3) over files whose columns differ in order and number: a
+    file's extra columns are left out, its missing ones are null, and a file without a
+    ``required`` column is skipped like an unreadable one. Values that do not cast are
+    null (PERMISSIVE); blank strings are null.
     """
-    df = (spark.read.schema(schema).options(**CSV_OPTIONS)
-          .option("mode", "PERMISSIVE" if permissive else "FAILFAST")
-          .option("ignoreCorruptFiles", "true")
-          .csv(path))
-    blank_to_null = [F.when(F.trim(F.col(f.name)) == "", None).otherwise(F.col(f.name)).alias(f.name)
-                     if f.dataType.simpleString() == "string" else F.col(f.name)
-                     for f in schema.fields]
-    df = df.select(*blank_to_null)
-    if columns:
-        df = df.select(*columns)
-    return df
+    wanted = [f for f in schema.fields if columns is None or f.name in columns]
+    out = None
+    for header, files in sorted(csv_headers(spark, path).items()):
+        if not header or not set(required) <= set(header):
+            continue
+        text = StructType([StructField(f"c{i}", StringType()) for i in range(len(header))])
+        df = (spark.read.schema(text).options(**CSV_OPTIONS)
+              .option("mode", "PERMISSIVE" if permissive else "FAILFAST")
+              .option("ignoreCorruptFiles", "true").csv(files))
+        at = {name: f"c{i}" for i, name in reversed(list(enumerate(header)))}
+        cells = []
+        for f in wanted:
+            cell = F.col(at[f.name]) if f.name in at else F.lit(None).cast("string")
+            filled = F.when(F.trim(cell) != "", cell)
+            cells.append((filled if isinstance(f.dataType, StringType) else filled.try_cast(f.dataType)).alias(f.name))
+        part = df.select(*cells)
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else spark.createDataFrame([], StructType(wanted))
 
 
 def read_id_sets(spark: SparkSession, path_glob: str, schema: StructType,
                  id_col: str = "message_id") -> DataFrame:
     """S3 + U1: ids from every file matching a glob, distinct."""
-    return read_csv(spark, path_glob, schema, [id_col]).where(F.col(id_col).isNotNull()).distinct()
+    return read_csv(spark, path_glob, schema, [id_col], required=(id_col,)).where(F.col(id_col).isNotNull()).distinct()
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -96,7 +134,9 @@ def profile(df: DataFrame) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("__n")]
     for c in cols:
         aggs.append(F.count(F.col(c)).alias(f"__nn_{c}"))
-        aggs.append(F.countDistinct(F.col(c)).alias(f"__nd_{c}"))
+        # a string's digest stands for it: the distinct shuffle moves 16 bytes, not the text
+        key = F.unhex(F.md5(F.col(c))) if dict(df.dtypes)[c] == "string" else F.col(c)
+        aggs.append(F.countDistinct(key).alias(f"__nd_{c}"))
     wide = df.agg(*aggs)
     stacked = F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.lit(i + 1).alias("position"),

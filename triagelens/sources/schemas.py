@@ -33,7 +33,7 @@ GOLDEN = _s(("message_id", LongType()), ("text", StringType()),
             ("true_intent", StringType()), ("gold_reply_notes", StringType()),
             ("true_escalate", BooleanType()), ("true_escalate_reason", StringType()))
 
-POOL = _s(("cust_tweet_id", LongType()), ("cust_text", StringType()),
+POOL = _s(("cust_tweet_id", StringType()), ("cust_text", StringType()),
           ("brand_reply", StringType()))
 
 HUMAN_SCORES = _s(("message_id", LongType()), ("text", StringType()),
