@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .util import checked_broadcast, hex_prefix_int, seeded_hash
 
-SALT_DIGITS = 3  # 4096 sub-buckets per stratum
+SALT_DIGITS = 4  # 65,536 sub-buckets per stratum: 1.5M rows each at 10^11 rows a stratum
 
 
 def _keyed(df: DataFrame, id_col: str, seed, digits: int) -> DataFrame:
@@ -72,18 +72,16 @@ def stratified_sample(df: DataFrame, strata_col: str, targets: dict[str, int] |
     WindowGroupLimit before the shuffle.
     """
     keyed = _keyed(df, id_col, seed, digits)
-    if isinstance(targets, dict):
+    if isinstance(targets, dict):  # strata without a target get a null target and drop below
         tmap = F.create_map(*[x for k, v in targets.items() for x in (F.lit(k), F.lit(int(v)))])
         target_col = F.element_at(tmap, F.col(strata_col))
-        source = keyed  # strata without a target get a null target and drop below
         bound = len(targets) * 16 ** digits
         max_target = max(int(v) for v in targets.values())
     else:
         target_col = F.lit(int(targets))
-        source = keyed
         bound = None
         max_target = int(targets)
-    offsets = (_offsets(source, [strata_col])
+    offsets = (_offsets(keyed, [strata_col])
                .withColumn("__target", target_col)
                .where(F.col("__off") < F.col("__target"))
                .drop("__cnt"))

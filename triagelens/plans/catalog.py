@@ -186,7 +186,7 @@ def q_score_range_subsample(spark, sf):
 def q_golden_union(spark, sf):
     # Labelled batches concatenated by name; n_copies is the duplicate-id check
     g = FX.golden(spark, sf).select("message_id", "difficulty_bucket", "true_intent")
-    b = S.stratified_batches(g, "difficulty_bucket", 4, "message_id", FX.SEED)
+    b = S.stratified_batches(g, "difficulty_bucket", 4, "message_id", FX.SEED).checkpoint(eager=True)  # read four times
     parts = [b.where(F.col("batch") == i) for i in range(4)]
     union = parts[0]
     for p in parts[1:]:

@@ -530,3 +530,106 @@ SQL["label_events"] = """
 select doc_id as message_id, case when doc_id % 7 = 0 then toxic <> 1 else toxic = 1 end as true_escalate,
        case when doc_id % 7 = 0 then 2 else 1 end as written_at, case when doc_id % 7 = 0 then 2 else 1 end::bigint as n_events
 from labels"""
+
+_PARSED = f"""
+with jb as ({SQL["json_block"]}),
+p as (
+  select *, case when json_valid(text) and starts_with(text, '{{') then 'strict'
+                 when json_valid(block) and starts_with(block, '{{') then 'block'
+                 when json_valid(replace(block, chr(10), '\\n')) and starts_with(block, '{{') then 'lenient' end as parse_path
+  from jb),
+v as (
+  select *, case parse_path when 'strict' then text when 'block' then block when 'lenient' then replace(block, chr(10), '\\n') end as js,
+         case when text is null then 'empty_response' when parse_path is null then 'invalid_json' end as error
+  from p),
+kv as (
+  select v.doc_id, e.key, arg_max(coalesce(json_extract_string(e.value, '$'), e.value::varchar), e.id) as val, min(e.id) as pos
+  from (select * from v where js is not null) v, json_each(v.js) e group by v.doc_id, e.key)"""
+
+SQL["json_parsed"] = f"""{_PARSED},
+m as (select doc_id, count(*)::int as n_keys,
+             '{{' || string_agg(to_json(key)::varchar || ':' || to_json(val)::varchar, ',' order by pos) || '}}' as parsed_json
+      from kv group by doc_id)
+select v.doc_id, v.shape, v.parse_path, v.error, m.n_keys, m.parsed_json from v left join m using (doc_id)"""
+
+SQL["required_fields"] = f"""{_PARSED},
+f as (select doc_id, max(val) filter (where key = 'intent') as intent,
+             case when count(*) filter (where key = 'confidence') > 0
+                  then try_cast(max(val) filter (where key = 'confidence') as double) else 0.5 end as confidence
+      from kv group by doc_id)
+select v.doc_id, v.shape, f.intent, coalesce(f.confidence, 0.5) as confidence,
+       coalesce(v.error, case when f.intent is null then 'missing_field:intent' end) as error
+from v left join f using (doc_id)"""
+
+# ---------------------------------------------------------------- model stages
+# The stub's replies are a function of the prompt's md5 and the attempt, so every stage has a twin.
+
+
+def _hex(h: str, start: int, n: int) -> str:
+    return f"('0x' || substr({h}, {start}, {n}))::bigint"
+
+
+def _path(h: str, newline_breaks: bool) -> str:
+    shape = f"{_hex(h, 6, 1)} % 4"
+    third = "'lenient'" if newline_breaks else "'strict'"
+    return f"case {shape} when 2 then 'block' when 3 then {third} else 'strict' end"
+
+
+_STUB = "case when {h}[6:6] = '3' or {h}[6:6] = '7' or {h}[6:6] = 'b' or {h}[6:6] = 'f' then 'stub' || chr(10) || 'line' else 'stub' end"
+_CLASSIFY = f"""(select message_id, text, difficulty_bucket, true_intent, true_escalate, h, h[1:1] <> '0' as ok from (
+   select *, md5({fill_sql(_P.CLASSIFY_TEMPLATE, brand=q(FX.BRAND), intents=q(_json.dumps(_P.REFERENCE_INTENTS)), text='text')}) as h
+   from {GOLDEN}))"""
+_INTENT = f"['en', 'de', 'es', 'fr'][1 + {_hex('h', 2, 4)} % 4]"
+
+SQL["stage_classify"] = f"""
+select message_id, case when ok then {_INTENT} end as llm_pred_intent,
+       case when ok then round(({_hex('h', 2, 4)} % 100) / 100, 2) else 0.5 end as confidence,
+       case when ok then {_path('h', True)} end as parse_path,
+       case when not ok then 3 when h[1:1] = '1' or h[7:7] = '0' then 2 else 1 end as attempts,
+       case when ok then 'ok' else 'failed' end as status
+from {_CLASSIFY}"""
+
+SQL["resume_pending"] = f"""
+with c as {_CLASSIFY}, n as (select count(*) as n, count(*) filter (where h[1:1] not in ('0', '1')) as n_ok_first,
+  count(*) filter (where ok) as n_ok_final from c)
+select 1 as run, n as n_calls, n_ok_final, n_ok_first from n
+union all select 2, n - n_ok_first, n_ok_final, n_ok_first from n where n > n_ok_first"""
+
+_AGENT = f"""
+with c as {_CLASSIFY},
+hits as {GOLDEN_HITS},
+g as (select message_id, string_agg('- Similar past message: "' || cust_text || '" -> Brand''s actual reply: "'
+        || brand_reply || '" (similarity: ' || printf('%.2f', sim_raw) || ')', chr(10) order by rank) as gt,
+        string_agg(substr(brand_reply, 1, 80), '; ' order by rank) filter (where rank <= 2) as gs
+      from hits group by message_id),
+d0 as (select c.*, {_INTENT} as intent, coalesce(g.gt, '') as gt, g.gs from c left join g using (message_id)),
+d as (select *, md5({fill_sql(_P.DRAFT_TEMPLATE, brand=q(FX.BRAND), message='text', intent='intent', grounding_text='gt')}) as hd
+      from d0 where ok),
+e0 as (select *, 'Thanks for reaching out, we are on it (ref ' || hd[1:6] || ').' as reply from d where hd[1:1] <> '0'),
+e as (select *, md5({fill_sql(_P.ESCALATE_TEMPLATE, brand=q(FX.BRAND), message='text', intent='intent', grounding_text='gt',
+                              draft_reply='reply')}) as he from e0),
+a as (select *, {_hex('he', 2, 4)} % 3 = 0 as esc, {_STUB.format(h='he')} || ' reason ' || ({_hex('he', 2, 4)} % 7) as reason
+      from e where he[1:1] <> '0'),
+j0 as (select *, md5({fill_sql(_P.JUDGE_TEMPLATE, message='text', grounding="coalesce(gs, '')", draft_reply='reply',
+                               escalate="(case when esc then 'True' else 'False' end)", escalation_reason='reason')}) as hj from a),
+j as (select *, hj[1:1] <> '0' as jok, {_hex('hj', 2, 4)} as n from j0)"""
+
+SQL["agent_batch"] = f"""{_AGENT}
+select d0.message_id, case when d0.ok then d0.intent end as llm_pred_intent, a.esc as agent_escalate,
+       a.reply as agent_draft_reply, a.reason as agent_escalation_reason, d0.gs as agent_grounding_summary
+from d0 left join a using (message_id)"""
+
+SQL["judge_stage"] = f"""{_AGENT}
+select message_id, case when jok then 1 + n % 5 end::int as judge_accuracy, case when jok then 1 + (n // 5) % 5 end::int as judge_relevance,
+       case when jok then case when n % 6 = 2 then 3 else 1 + (n // 25) % 5 end end::int as judge_tone,
+       case when jok then 1 + (n // 125) % 5 end::int as judge_escalation_judgment,
+       case when jok then 1 + (n // 625) % 5 end::int as judge_overall,
+       case when jok then {_STUB.format(h='hj')} || ' note' || case when n % 6 = 2
+            then ' [warning: fields [''tone''] defaulted, not real model output]' else '' end end as judge_notes,
+       case when jok then 'ok' else 'failed' end as status
+from j"""
+
+SQL["completion_counts"] = f"""{_AGENT}
+select (select count(*) from c) as n_rows, count(*) as n_a_done, count(*) filter (where jok) as n_b_done,
+       count(*) filter (where jok) as n_fully_done, (select count(*) from c) - count(*) filter (where jok) as n_incomplete
+from j"""

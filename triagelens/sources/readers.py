@@ -26,9 +26,8 @@ TEXT_TABLES = {"documents", "conversations", "benchmark", "pages"}
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool | None = None) -> DataFrame:
     """Read one driver table with its declared schema.
 
-    Text tables are spread over the cluster's cores when the scan yields fewer
-    splits than cores (a small file written as one row group). Large inputs
-    have many splits already and are never reshuffled here.
+    Small text tables are spread over the cluster's cores (``spread_small``); larger
+    ones have splits of their own and stay as they are.
     """
     reader = spark.read
     schema = DRIVER_TABLES.get(name)
@@ -42,12 +41,16 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool | None = Non
     return df
 
 
+SPREAD_BYTES = 256 << 20  # tables of more bytes on disk are never reshuffled for width
+
+
 def spread_small(df: DataFrame) -> DataFrame:
-    """Round-robin a frame over all cores if its input has fewer splits than cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    """Round-robin a small frame over the cores, for its files may hold one row group each.
+
+    The planner's size estimate decides, so the move is at most SPREAD_BYTES of files."""
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def csv_headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
