@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as E
 from conftest import SF_SMALL
 
-TABLES = ["documents", "labels", "conversations", "benchmark"]
+TABLES = ["documents", "labels", "conversations", "benchmark", "embeddings", "pages"]
 SQL = E.oracle_sql()
 
 
