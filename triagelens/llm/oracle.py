@@ -72,3 +72,54 @@ SELECT doc_id, held AS held_out, count(*) AS n_tokens, count(*) FILTER (c > 0) A
   sum(log10(pu)) AS base_score, sum(log10((1 - fb) * seen + fb * pu)) AS score
 FROM p GROUP BY doc_id, held, n
 """
+
+
+def _url_filter() -> str:
+    """The path-template tree level by level; thresholds and rules are the operator's fixed values."""
+    from . import url_templates as U
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    fits = [f"WHEN (host = {q(r.host)} OR ends_with(host, {q('.' + r.host)})) AND starts_with(path, {q(r.path)}) THEN "
+            for r in sorted(U.RULES, key=lambda r: (-len(r.name), r.name))]
+    by_name = {r.name: r for r in U.RULES}
+    order = [by_name[n] for n in sorted(by_name, key=lambda n: (-len(n), n))]
+    rule = "CASE " + " ".join(f + q(r.name) for f, r in zip(fits, order)) + " END"
+    known = "CASE " + " ".join(f + q(r.verdict) for f, r in zip(fits, order)) + " END"
+    sql = rf"""
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+g AS (SELECT *, {rule} AS rule, {known} AS known, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM h),
+p AS (SELECT * EXCLUDE (parts), list_concat(list_transform(parts[1:{U.DEPTH}], lambda x:
+    CASE WHEN regexp_matches(x, '^[0-9]+$') THEN '{{n}}'
+         WHEN regexp_matches(x, '^[0-9]+\.[A-Za-z0-9]{{1,5}}$') THEN '{{n}}.' || split_part(x, '.', -1)
+         WHEN regexp_matches(x, '^[0-9a-fA-F-]{{8,}}$') THEN '{{x}}' WHEN length(x) > 40 THEN '{{s}}' ELSE x END),
+    CASE WHEN len(parts) > {U.DEPTH} THEN ['**'] ELSE [] END) AS segs FROM g),
+r0 AS (SELECT host, segs, count(*) AS n, count(*) FILTER (known = 'block') AS b, count(*) FILTER (known = 'allow') AS a, '' AS prefix
+  FROM p GROUP BY host, segs)"""
+    for i in range(U.DEPTH + 1):
+        sql += f""",
+s{i} AS (SELECT *, segs[{i + 1}] AS seg FROM r{i} WHERE len(segs) > {i}),
+k{i} AS (SELECT *, CASE WHEN kb + ka > 0 THEN round(10 * kb / (kb + ka))::INT END AS rate, round(kd / kn)::INT AS shape FROM (
+  SELECT host, prefix, seg, sum(n) AS kn, sum(b) AS kb, sum(a) AS ka, sum((len(segs) - {i}) * n) AS kd FROM s{i} GROUP BY ALL)),
+n{i} AS (SELECT host, prefix, count(*) AS width, sum(kn) AS pn FROM k{i} GROUP BY ALL),
+c{i} AS (SELECT host, prefix, rate, shape, sum(kb) AS cb, sum(ka) AS ca FROM k{i} WHERE rate IS NOT NULL GROUP BY ALL),
+m{i} AS (SELECT k{i}.host, k{i}.prefix, seg, CASE
+    WHEN starts_with(seg, '{{') OR (width > {U.MAX_LITERALS} AND kn < {U.MIN_SHARE} * pn) THEN '*'
+    WHEN cb + ca > kb + ka AND abs(kb / (kb + ka) - (cb - kb) / (cb + ca - kb - ka)) <= {U.SIMILAR_Z}
+      * sqrt(cb / (cb + ca) * (1 - cb / (cb + ca)) * (1 / (kb + ka) + 1 / (cb + ca - kb - ka))) THEN '*' || k{i}.rate
+    ELSE seg END AS name
+  FROM k{i} JOIN n{i} USING (host, prefix) LEFT JOIN c{i} ON c{i}.host = k{i}.host AND c{i}.prefix = k{i}.prefix
+    AND c{i}.rate = k{i}.rate AND c{i}.shape = k{i}.shape),
+r{i + 1} AS (SELECT host, segs, n, b, a, prefix || '/' || name AS prefix FROM s{i} JOIN m{i} USING (host, prefix, seg)
+  UNION ALL SELECT host, segs, n, b, a, prefix FROM r{i} WHERE len(segs) <= {i})"""
+    return sql + f""",
+rate AS (SELECT coalesce(sum(b), 0) / greatest(1, coalesce(sum(b) + sum(a), 0)) AS p0 FROM r0),
+bad AS (SELECT host, prefix, sum(b) + sum(a) >= {U.MIN_LABELLED}
+    AND (sum(b) + {U.PRIOR_WEIGHT} * max(p0)) / (sum(b) + sum(a) + {U.PRIOR_WEIGHT}) >= {U.REJECT_PURITY} AS bad
+  FROM r{U.DEPTH + 1}, rate GROUP BY host, prefix)
+SELECT p.page_id, p.host, p.path, p.rule, coalesce(p.known, CASE WHEN bad.bad THEN 'block' ELSE 'allow' END) AS verdict, l.prefix AS template
+FROM p JOIN r{U.DEPTH + 1} l ON l.host = p.host AND l.segs = p.segs JOIN bad ON bad.host = l.host AND bad.prefix = l.prefix
+"""
+
+
+SQL["op2_url_filter"] = _url_filter()
