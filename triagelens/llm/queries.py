@@ -66,10 +66,8 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pd.DataFrame(out, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256"])
 
     rows = chats.select("conv_id", digests("formatted", "loss_spans").alias("d"),
-                        F.char_length("formatted").cast("long").alias("formatted_chars"),
-                        F.size("ids").cast("long").alias("n_ids"),
-                        F.size(F.filter("loss", lambda x: x)).cast("long").alias("n_loss_ids"))
-    return rows.select("conv_id", "d.*", "formatted_chars", "n_ids", "n_loss_ids")
+                        F.char_length("formatted").cast("long").alias("formatted_chars"))
+    return rows.select("conv_id", "d.*", "formatted_chars")
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
