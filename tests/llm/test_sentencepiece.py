@@ -28,10 +28,10 @@ def test_scan_equals_the_librarys_encoding(size):
         widest = max(widest, *map(len, ms))
         states = M.resolve(ms, M.START, M.START)
         traced = [c.trace(*s) for c, s in zip(cs, states)]
-        ids = np.frombuffer(b"".join(i for i, _ in traced), "<u4")
+        ids = np.frombuffer(b"".join(traced), "<u4")
         want = P.model.encode(t)
         assert ids.tolist() == want
-        assert sum(w for _, w in traced) == sum(map(P.model.get_score, want))
+        assert sum(map(P.weight_of, traced)) == sum(map(P.model.get_score, want))
         assert P.decode(ids)[1:] == t == P.model.decode(want)
     assert widest > 20  # cuts inside words: many states
 

@@ -30,6 +30,7 @@ Extra columns are ignored.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +44,7 @@ from .common import parked
 CHUNK = 32_768
 FAN = 256             # chunk matrices combined by one task
 LONG_WORD = 64        # longer words go through the lattice
-MEMO_WORDS = 200_000
+MEMO_WORDS = 600_000   # remembered encodings per task; the memo starts anew beyond
 MEMO_PAIRS = 500_000
 MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}]*")
@@ -70,7 +71,8 @@ class Pieces:
         self.table = [m.id_to_piece(i).replace(MARK, " ").encode() for i in range(n)]
         for b, i in enumerate(self.byte):
             self.table[i] = bytes([b])
-        self.words: dict[str, tuple[bytes, float]] = {}
+        self.scores = np.array([m.get_score(i) for i in range(n)])
+        self.words: dict[str, bytes] = {}
         self.known: dict[str, bool] = {}
         self.joins: dict[tuple[str, str], bool] = {}
 
@@ -110,20 +112,25 @@ class Pieces:
     def weight(self, part: str) -> float:
         return self.score.get(part, 0.0)
 
-    def word(self, w: str) -> tuple[bytes, float]:
-        """Ids and weight of a whole word (from its marker to the next word)."""
-        found = self.words.get(w)
-        if found is None:
-            if len(w) <= LONG_WORD:
-                ids = self.model.encode(w[1:].replace(MARK, " ")) if len(w) > 1 else self.ids([w])
-                found = np.array(ids, "<u4").tobytes(), sum(map(self.model.get_score, ids))
-                if len(self.words) >= MEMO_WORDS:
-                    self.words.clear()
-                self.words[w] = found
-            else:
-                path, weight = Lattice(self, w, 0, len(w), [(START, None)]).path_to(START, len(w), None)
-                found = np.array(self.ids(path), "<u4").tobytes(), weight
-        return found
+    def weight_of(self, ids: bytes) -> float:
+        return float(self.scores[np.frombuffer(ids, "<u4")].sum())
+
+    def encoded(self, words: list[list[str]]) -> list[bytes]:
+        """Ids of lists of whole words (each from its marker to the next word).
+
+        Words not yet known are encoded together; the memo starts anew when it is full."""
+        new = set().union(*words).difference(self.words)
+        if len(self.words) + len(new) > MEMO_WORDS:
+            self.words = {}
+            new = set().union(*words)
+        short = [w for w in new if 1 < len(w) <= LONG_WORD]
+        for w, ids in zip(short, self.model.encode([w[1:].replace(MARK, " ") for w in short], num_threads=1)):
+            self.words[w] = array("I", ids).tobytes()
+        for w in new.difference(short):
+            path = Lattice(self, w, 0, len(w), [(START, None)]).path_to(START, len(w), None)[0]
+            self.words[w] = array("I", self.ids(path)).tobytes()
+        known = self.words.__getitem__
+        return [b"".join(map(known, ws)) for ws in words]
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.table.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -190,11 +197,13 @@ class Chunk:
         if last and cuts:
             self.tail = end
 
-    def words(self) -> list[tuple[bytes, float]]:
-        return [self.p.word(w) for w in WORD.findall(self.s, self.head, self.tail)]
+    def words(self) -> list[str]:
+        return WORD.findall(self.s, self.head, self.tail)
 
     def matrix(self) -> Iterator[tuple[int, int, float]]:
-        """(entry, exit, weight) of every joinable pair of states; weights of the pieces that begin here."""
+        """(entry, exit, weight) of every joinable pair of states; weights of the pieces that begin
+        here. The whole words between head and tail are on every path, so their weight is
+        left out of all entries alike."""
         if self.head is None:
             whole = Lattice(self.p, self.s, self.begin, self.end, self.entries)
             for state, _ in self.entries:
@@ -203,13 +212,12 @@ class Chunk:
                     if w is not None:
                         yield state, exit_, w
             return
-        middle = sum(w for _, w in self.words())
         head = Lattice(self.p, self.s[:self.head], self.begin, self.head, self.entries)
         tail = Lattice(self.p, self.s[self.tail:], 0, self.end - self.tail, [(START, None)])
         into = [(state, w) for state, _ in self.entries if (w := self.ending(head, state, self.head)) is not None]
         out = [(e, w) for e, piece in self.exits
                if (w := self.best(tail, START, e, piece, self.end - self.tail)) is not None]
-        yield from ((i, o, a + middle + b) for i, a in into for o, b in out)
+        yield from ((i, o, a + b) for i, a in into for o, b in out)
 
     @staticmethod
     def ending(lattice: Lattice, state: int, x: int) -> float | None:
@@ -222,21 +230,23 @@ class Chunk:
         found = lattice.at[end + exit_ % 32].get(piece, {}).get(state)
         return None if found is None else found[0]
 
-    def trace(self, entry: int, exit_: int) -> tuple[bytes, float]:
-        """Ids of the pieces that begin here on the path between the two states."""
+    def trace(self, entry: int, exit_: int, words: bytes | None = None) -> bytes:
+        """Ids of the pieces that begin here on the path between the two states.
+
+        ``words`` are the whole words' ids, if they are already encoded."""
         entries = [e for e in self.entries if e[0] == entry]
         piece = dict(self.exits)[exit_]
-        u4 = lambda parts: np.array(self.p.ids(parts), "<u4").tobytes()
+        u4 = lambda parts: array("I", self.p.ids(parts)).tobytes()
         if self.head is None:
             whole = Lattice(self.p, self.s, self.begin, self.end, entries)
-            parts, w = whole.path_to(entry, self.end + exit_ % 32, piece)
-            return u4(parts), w
+            return u4(whole.path_to(entry, self.end + exit_ % 32, piece)[0])
         head = Lattice(self.p, self.s[:self.head], self.begin, self.head, entries)
         tail = Lattice(self.p, self.s[self.tail:], 0, self.end - self.tail, [(START, None)])
-        a, wa = head.path_to(entry, self.head, None)
-        b, wb = tail.path_to(START, self.end - self.tail + exit_ % 32, piece)
-        words = self.words()
-        return u4(a) + b"".join(i for i, _ in words) + u4(b), wa + sum(w for _, w in words) + wb
+        a = head.path_to(entry, self.head, None)[0]
+        b = tail.path_to(START, self.end - self.tail + exit_ % 32, piece)[0]
+        if words is None:
+            words = self.p.encoded([self.words()])[0]
+        return u4(a) + words + u4(b)
 
 
 Matrix = dict[tuple[int, int], float]
@@ -317,12 +327,10 @@ def encode_short(docs: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model_path)
         for batch in batches:
-            out = []
-            for row, doc, text in zip(*[c.to_pylist() for c in batch.columns]):
-                words = [pieces.word(w) for w in WORD.findall(marked(text or ""))]
-                out.append((row, doc, 0, b"".join(i for i, _ in words), float(sum(w for _, w in words))))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+            rows, ids, texts = (c.to_pylist() for c in batch.columns)
+            coded = pieces.encoded([WORD.findall(marked(t or "")) for t in texts]) if texts else []
+            out = rows, ids, [0] * len(rows), coded, [pieces.weight_of(c) for c in coded]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types)], schema=schema)
 
     return docs.select("row", "doc_id", "text").mapInArrow(run, ENCODED)
 
@@ -368,8 +376,10 @@ def encode_giant(docs: DataFrame, model_path: str, chunk: int, fan: int, margin:
     def traced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = Pieces(model_path)
         for pdf in batches:
-            rows = [(r.row, r.doc_id, r.chunk, *Chunk(pieces, r.body, r.lead, r.lead + r.size, r.chunk == 0, r.last)
-                     .trace(r.entry, r.exit)) for r in pdf.itertuples()]
+            rows = []
+            for r in pdf.itertuples():
+                ids = Chunk(pieces, r.body, r.lead, r.lead + r.size, r.chunk == 0, r.last).trace(r.entry, r.exit)
+                rows.append((r.row, r.doc_id, r.chunk, ids, pieces.weight_of(ids)))
             yield pd.DataFrame(rows, columns=["row", "doc_id", "chunk", "ids", "weight"])
 
     return chunks.join(states, ["row", "chunk"]).mapInPandas(traced, ENCODED)
