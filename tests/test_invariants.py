@@ -96,7 +96,9 @@ def test_retrieval_edge_cases(spark):
     got = {}
     for r in hits.collect():
         got.setdefault(r.qid, []).append((r.rank, r.pid))
-    assert 11 not in got and 12 not in got          # no known term / one-char tokens only
+    # no known term / one-char tokens only: filled up with similarity 0 in the order of ids
+    assert sorted(got[11]) == sorted(got[12]) == [(1, 1), (2, 2), (3, 3)]
+    assert {r.similarity for r in hits.collect() if r.qid != 10} == {0.0}
     assert [p for _, p in sorted(got[10])][0] == 1   # best match first; fewer than k hits allowed
     weak = {r.qid: r.weak for r in R.weak_grounding(queries, hits, "qid").collect()}
     assert weak[11] and weak[12]
