@@ -6,17 +6,17 @@ P(grade >= j) = sigmoid(w.x - theta_j), theta_1 < theta_2. A document's expected
 grade is the sum of its tail probabilities; it is kept if the tail probability of
 the top grade reaches ``min_tail``.
 
-Features are a text's distinct words (lower-case, without outer punctuation), the
-punctuation around them, and shares of capitals, symbols and repeats in tenths, each
+Features are a text's distinct words (lower-case, without outer punctuation), their
+beginnings, the punctuation around them, and shares of capitals, symbols and repeats in tenths, each
 hashed to 30 bits. Words count by presence, so one slur weighs as much in a long
 text as in a short one. Weights exist only for features that enough fitted
 documents hold, so unseen words of a long text add nothing and a hash
 collision with a weighted feature is rare.
 
 Fit. At most ``FIT_ROWS`` labelled documents (the ones with the smallest hash of
-their id) are featurised in Spark; their feature ids, not their texts, come to the
-driver, where the convex problem is solved. Both bounds are parameters. Every
-document is scored, whole, in one map-side pass; the model is at most
+their id) are featurised where they lie; their feature ids, not their texts, meet in one task,
+which solves the convex problem, and the driver gets the weights. Both bounds are
+parameters. Every document is scored, whole, in one map-side pass; the model is at most
 ``MAX_FEATURES`` weights.
 
 Edge cases: a null or empty text has only the shape features. Repeated label rows
@@ -43,7 +43,8 @@ MAX_FEATURES = 1 << 17   # weights kept at most
 MIN_DOCS = 4             # fitted documents a feature must be in
 MIN_TAIL = 0.5           # P(grade >= top) of a kept document
 HASH_BITS = 30
-MEMO_WORDS = 200_000
+STEM = 4                 # letters of a longer word's beginning
+MEMO_WORDS = 500_000
 L2 = 1.0
 STEPS = 120
 
@@ -58,7 +59,10 @@ def bucket(feature: str) -> int:
 def word_features(word: str) -> tuple[int, ...]:
     """Feature ids of one white-space-separated word."""
     before, core, after = EDGES.match(word).groups()
-    out = [bucket("w:" + core.lower())] if core else []
+    core = core.lower()
+    out = [bucket("w:" + core)] if core else []
+    if len(core) > STEM:  # an inflected word also counts by its beginning
+        out.append(bucket("s:" + core[:STEM]))
     out += [bucket("p:" + p) for p in (before, after) if p]
     return tuple(out)
 
@@ -123,10 +127,11 @@ def solve(rows: list[np.ndarray], grades: np.ndarray, l2: float = L2, steps: int
     ids, counts = np.unique(flat, return_counts=True)
     ids = ids[counts >= min_docs] if (counts >= min_docs).sum() <= max_features else \
         np.sort(ids[np.lexsort((ids, -counts))[:max_features]])
-    at = np.searchsorted(ids, flat)
-    hit = (at < len(ids)) & (ids[np.minimum(at, max(len(ids) - 1, 0))] == flat) if len(ids) else np.zeros(len(flat), bool)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])[hit]
+    at = np.searchsorted(ids, flat).astype(np.int32)
+    hit = ids[np.minimum(at, len(ids) - 1)] == flat if len(ids) else np.zeros(len(flat), bool)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])[hit]
     col, n, k, d = at[hit], len(rows), len(found) - 1, len(ids)
+    del flat, at, hit
     level = np.searchsorted(found, grades)
 
     def thresholds(p: np.ndarray) -> np.ndarray:
@@ -208,11 +213,17 @@ def fit(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in texts:
             yield pd.Series([sorted(memo.of(t)) for t in batch])
 
-    rows = (sample.select("rated_id", "grade", feature_ids("body").alias("ids"))
-            .dropDuplicates(["rated_id"]).orderBy("rated_id").toPandas())
-    if rows.empty:
+    def solved(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rated_id", kind="stable").drop_duplicates("rated_id")
+        m = solve([np.asarray(r, np.int32) for r in pdf["ids"]], pdf["grade"].to_numpy(), **solver)
+        return pd.DataFrame([[x.tobytes() for x in (m.ids, m.weights, m.thresholds)]], columns=["ids", "weights", "thresholds"])
+
+    # one task, one bounded sample: at most fit_rows lists of feature ids
+    rows = sample.select("rated_id", "grade", feature_ids("body").alias("ids"))
+    model = rows.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(solved, "ids binary, weights binary, thresholds binary").first()
+    if model is None:
         return OrdinalModel(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
-    return solve([np.asarray(r, np.int64) for r in rows["ids"]], rows["grade"].to_numpy(), **solver)
+    return OrdinalModel(np.frombuffer(model.ids, np.int64), np.frombuffer(model.weights), np.frombuffer(model.thresholds))
 
 
 def tails(text: Column, model: OrdinalModel) -> Column:
