@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ CAPACITY = 1024
 GRANULE = 64
 CLOSING_ID = 0
 SEQUENCE_BITS = 40       # sequences of one partition
-MEMO_WORDS = 200_000     # remembered encodings per task; the memo starts anew beyond
+MEMO_WORDS = 600_000   # remembered encodings per task; the memo starts anew beyond
 OUT_BYTES = 4 << 20      # ids of one output batch
 SCHEMA = ("doc_id long, start long, length long, ids binary, doc_tokens long, "
           "sequence_id long, offset long, sequence_tokens long")
@@ -59,7 +60,7 @@ class Encoder(dict):
                                      special_tokens={})
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(self.bpe.encode_ordinary(text), "<u4").tobytes()
+        return array("I", self.bpe.encode_ordinary(text)).tobytes()
 
     def __missing__(self, word: str) -> bytes:
         ids = self.whole(" " + word)
