@@ -4,6 +4,8 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +77,13 @@ def test_nothing_to_learn_from(llm, no_docs):
     df = llm.createDataFrame([(one, "a b")], "doc_id long, text string")
     r = B.score(df, is_held()).first()
     assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0) and r.base_score == pytest.approx(0.0) and math.isfinite(r.score)
+
+
+def test_totals_beyond_32_bits():
+    """Three blocks that together hold a word more often than 32 bits can say."""
+    keys = np.array([5, 9], np.uint64)
+    sent = [(b, 0, keys.astype("<u8").tobytes(), np.array([4_000_000_000, n], "<u4").tobytes(), bytes(2))
+            for b, n in enumerate((1_431_655_766, 1_431_655_765, 1_431_655_765))]  # 2^32 in all
+    out = B.summed((0,), pd.DataFrame(sent, columns=B.SENT_COLUMNS))
+    for b in range(3):
+        assert B.answered(out[out["block"] == b]).tolist() == [12_000_000_000, 1 << 32]

@@ -16,7 +16,9 @@ whole. Every split is read once into blocks of about ``BLOCK_BYTES`` of text, ke
 numbers and word hashes in a table bucketed by block. A block sends its distinct words,
 then its distinct bigrams of known words, each once with its training count, as packed
 arrays to hash buckets; a bucket sums them over the blocks and answers every block with
-the counts of what it sent, in the order it sent them. Answers move to the blocks, the
+the counts of what it sent, in the order it sent them. A block's own counts are 32-bit,
+its texts being bounded; totals of the corpus go back in 32 bits where all of an answer
+fit and in 64 where one does not. Answers move to the blocks, the
 blocks never move. A block thus gets exactly the part of the automaton that its texts
 can reach, and traverses it. A word or bigram in a third of all texts is one entry per
 block, however often it occurs, and buckets are even, being ranges of a hash. Words and
@@ -136,6 +138,12 @@ def packed(keys: np.ndarray, counts: np.ndarray, tags: np.ndarray, block: int, b
     return pd.DataFrame(rows, columns=SENT_COLUMNS), order
 
 
+def widened(totals: np.ndarray) -> bytes:
+    """Totals after one byte that says how many bytes each has: 4, or 8 if one needs them."""
+    width = 8 if totals.max(initial=0) >= 1 << 32 else 4
+    return bytes([width]) + totals.astype(f"<u{width}").tobytes()
+
+
 def summed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """One bucket: totals of every key over all blocks, sent back block by block.
 
@@ -152,7 +160,7 @@ def summed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
                             [np.count_nonzero(total), total.sum()])).astype("<i8")
     back = total[at]
     cut = np.cumsum([0, *map(len, keys)])
-    rows = [(int(b), key[0], back[cut[i]:cut[i + 1]].astype("<u4").tobytes()) for i, b in enumerate(pdf["block"])]
+    rows = [(int(b), key[0], widened(back[cut[i]:cut[i + 1]])) for i, b in enumerate(pdf["block"])]
     return pd.DataFrame([*rows, (-1, key[0], stats.tobytes())], columns=["block", "bucket", "totals"])
 
 
@@ -161,7 +169,7 @@ def answered(answers: pd.DataFrame) -> np.ndarray:
     if answers.empty:
         return np.zeros(0, np.int64)
     rows = answers.sort_values("bucket")["totals"]
-    return np.concatenate([np.frombuffer(t, "<u4") for t in rows]).astype(np.int64)
+    return np.concatenate([np.frombuffer(t, f"<u{t[0]}", offset=1).astype(np.int64) for t in rows])
 
 
 def unordered(values: np.ndarray, order: np.ndarray) -> np.ndarray:
