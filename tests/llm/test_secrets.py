@@ -84,3 +84,30 @@ def test_redaction(docs):
 def test_native_only(odd_docs):
     plan = S.redact(odd_docs)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
     assert not re.search("Python|Pandas|ArrowEval|Exchange hash", plan)
+
+
+def test_families_of_secrets_are_found(llm):
+    """Random keys of every family: upper-case hex after any separator, letters only, short, beside an allowed word."""
+    rnd, letters = random.Random(11), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    key = lambda alphabet, n: "".join(rnd.choice(alphabet) for _ in range(n))
+    upper, mixed = "0123456789ABCDEF", letters + "0123456789+/"
+    families = {"hex24": lambda: " " + key(upper, 24), "eq32": lambda: "KEY=" + key(upper, 32), "eq64": lambda: "sig=" + key(upper, 64),
+                "slash": lambda: "/a/" + key(upper, 32), "dash": lambda: "id-" + key(upper, 40), "under": lambda: "sk_" + key(upper, 32),
+                "0x": lambda: "0x" + key(upper, 40), "letters": lambda: key(letters, 32), "example": lambda: "example" + key(mixed, 32),
+                "known": lambda: "0123456789abcdef" + key(letters, 32), "short": lambda: key(mixed, 20), "hex16": lambda: "K:" + key(upper, 16)}
+    rows = [(name, f"x {make()} y") for name, make in families.items() for _ in range(100)]
+    clear = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "D41D8CD98F00B204E9800998ECF8427E", "Underlichungkeit",
+             "example/of/a/lower-case/path", "0123456789ABCDEF0123456789ABCDEF", "1234567890123456789", "an-ordinary-long-slug/of-words"]
+    rows += [("clear", f"x {t} y") for t in clear]
+    got = Counter()
+    for r in S.scan(llm.createDataFrame(rows, "name string, text string")).collect():
+        got[r.name] += any(x.k >= 3 for x in r.spans)
+    assert got["clear"] == 0
+    assert {name: got[name] for name in families if got[name] < 95} == {}
+
+
+def test_redaction_leaves_nothing_of_a_separated_key(llm):
+    key = "4F3A9C0B17D25E8866A1F0B3C97D42E5"
+    texts = [f"KEY={key}", f"https://h/{key}/x", f"a-{key}", "example7Zk3pQ9xV7bLm2Rt8WyDf5Hs1"]
+    out = [r.text for r in S.redact(llm.createDataFrame([(t,) for t in texts], "text string")).collect()]
+    assert all("[SECRET]" in t and key not in t and "Zk3p" not in t for t in out)

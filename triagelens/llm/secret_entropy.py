@@ -4,8 +4,12 @@ Base kinds are patterns. The method adds candidate strings of a character class
 (hex digits, base-64 alphabet) whose entropy reaches the class's threshold in some
 window of ``window`` characters. The window slides by one character: the entering and
 leaving characters change two counts, and the entropy sum changes by the two counts'
-terms, so a candidate of n characters costs n steps, never n windows. Candidates that
-match the allow list, or have the form of a base kind or another class, add nothing.
+terms, so a candidate of n characters costs n steps, never n windows. A candidate of 16
+to 23 characters is one window of its own length, with a threshold for short windows.
+Hex runs are candidates of their own between any separators, also inside a base-64
+candidate ('KEY=4F3A...'). Candidates that match the allow list, or have the form of a
+base kind or another class, add nothing; an allowed part inside a candidate clears only
+the windows that it touches.
 
 Column expressions only: one map-side pass over whole texts, no shuffle, no Python.
 Positions are code points, ends exclusive. A pattern's matches and the text between
@@ -44,20 +48,27 @@ class CharClass:
     alphabet: str
     threshold: float
     covered: str  # candidates of this form belong to another kind already
+    short: str  # candidates shorter than a window, but long enough to judge
+    short_threshold: float  # their entropy as a share of the largest their length and alphabet allow
+    short_covered: str
 
 
 WINDOW = 24
 CLASSES = (
-    CharClass("entropy_hex", r"(?<![A-Za-z0-9+/_=-])[0-9A-Fa-f]{24,}(?![A-Za-z0-9+/_=-])", "0123456789abcdef", 3.0,
-              "^[0-9a-f]+$"),
+    CharClass("entropy_hex", r"(?:(?<![A-Za-z0-9])|(?<=0[xX]))[0-9A-Fa-f]{24,}(?![A-Za-z0-9])", "0123456789abcdef", 3.0,
+              "^[0-9a-f]+$", r"(?:(?<![A-Za-z0-9])|(?<=0[xX]))[0-9A-Fa-f]{16,23}(?![A-Za-z0-9])", 0.65, "^[0-9a-f]+$"),
     CharClass("entropy_base64", r"[A-Za-z0-9+/_=-]{24,}",
               "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.9,
-              "^[0-9A-Fa-f]+$"),
+              "^[0-9A-Fa-f]+$", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,23}(?![A-Za-z0-9+/_=-])", 0.84,
+              "^[0-9A-Fa-f]+$|^AKIA[A-Z0-9]{14,}$"),
 )
-# Strings that look random and are not secrets: alphabets, digests of nothing, placeholders.
-ALLOW = (r"(?i)^(?:0123456789abcdef|abcdefghijklmnopqrstuvwxyz|[a-z+/_=-]*$|.*(?:example|placeholder|dummy)|"
-         r"d41d8cd98f00b204e9800998ecf8427e$|da39a3ee5e6b4b0d3255bfef95601890afd80709$|"
-         r"e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855$)")
+SHORT = 16
+# Strings that look random and are not secrets. Whole candidates: lower-case words (the first letter may be a
+# capital), alphabets, digests of nothing. Parts: these and placeholders, wherever they stand.
+KNOWN = ("0123456789abcdef|abcdefghijklmnopqrstuvwxyz|d41d8cd98f00b204e9800998ecf8427e|"
+         "da39a3ee5e6b4b0d3255bfef95601890afd80709|e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855")
+ALLOW = rf"^[A-Z]?[a-z+/_=-]*$|^(?:(?i:{KNOWN}|0123456789)[+/_=-]*)+$"
+PARTS = f"(?i:{KNOWN}|example|placeholder|dummy)"
 BLOCK = 256  # matches placed in one running sum
 
 SPAN = "struct<s:int,k:int,e:int>"
@@ -132,16 +143,37 @@ def base_spans(text: Column) -> Column:
     return F.concat(F.transform(assign, span(0)), F.transform(access, span(1)), F.transform(located(text, HEX), span(2)))
 
 
+def own_entropy(word: Column, cls: CharClass) -> Column:
+    """Shannon entropy of a short word, as a share of the largest its length and alphabet allow."""
+    size = F.char_length(word)
+    body = word if cls.alphabet != cls.alphabet.lower() else F.lower(word)
+
+    def bits(chars: Column) -> Column:
+        counts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)))
+        return F.log2(size) - F.aggregate(counts, F.lit(0.0), lambda a, n: a + n * F.log2(n.cast("double"))) / size
+
+    return let(F.split(body, ""), bits) / F.least(F.log2(size), F.lit(math.log2(len(cls.alphabet))))
+
+
 def entropy_spans(text: Column, classes: tuple[CharClass, ...], window: int) -> Column:
     """The method's spans: random-looking candidates that neither the allow list nor a base kind covers."""
-    def of(k: int, cls: CharClass) -> Column:
-        def secret(x: Column) -> Column:
-            return ~x["m"].rlike(ALLOW) & ~x["m"].rlike(cls.covered) & (window_entropy(x["m"], cls, window) >= cls.threshold)
+    def of(k: int, cls: CharClass) -> list[Column]:
+        def high(piece: Column) -> Column:
+            size = F.char_length(piece)
+            entropy = (F.when(size >= window, window_entropy(piece, cls, window) >= cls.threshold)
+                       .when(size >= SHORT, own_entropy(piece, cls) >= cls.short_threshold).otherwise(F.lit(False)))
+            return ~piece.rlike(ALLOW) & entropy
+
+        def secret(covered: str):
+            return lambda x: ~x["m"].rlike(ALLOW) & ~x["m"].rlike(covered) & F.exists(F.split(x["m"], PARTS), high)
+
+        def span(x: Column) -> Column:
+            return F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"))
 
-        found = F.filter(located(text, cls.pattern), secret)
-        return F.transform(found, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e")))
+        return [F.transform(F.filter(located(text, pattern), secret(covered)), span)
+                for pattern, covered in ((cls.pattern, cls.covered), (cls.short, cls.short_covered))]
 
-    return F.concat(*[of(k, cls) for k, cls in enumerate(classes, len(KINDS))])
+    return F.concat(*[spans for k, cls in enumerate(classes, len(KINDS)) for spans in of(k, cls)])
 
 
 def scan(docs: DataFrame, text_col: str = "text", classes: tuple[CharClass, ...] = CLASSES,
