@@ -77,3 +77,20 @@ def test_empty_table_and_classes(no_docs):
         parts = H.cuts(n, 1024, 64)
         assert sum(parts) == n and all(0 < p <= 1024 for p in parts)
         assert all(p * (1024 // p) <= 1024 for p in parts)
+
+
+CONTRACT = Tokenizer.from_file(VOCAB)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*"ab Z9.,'sé日\n\t\x85\xa0 !|<>", "  ", " \n", "<|endoftext|>", "<|endoftext|>"]), max_size=40).map("".join))
+def test_added_token_is_matched(text):
+    """The contract's call as it is, special tokens not turned into text."""
+    assert np.frombuffer(ENCODER.contract_ids(text), "<u4").tolist() == CONTRACT.encode(text, add_special_tokens=False).ids
+
+
+def test_packed_ids_hold_the_added_token(llm):
+    text = "hello <|endoftext|> world"
+    rows = H.pack(llm.createDataFrame([(1, text)], "doc_id long, text string"), RANKS).collect()
+    ids = [i for r in sorted(rows, key=lambda r: r.start) for i in np.frombuffer(r.ids, "<u4").tolist()]
+    assert ids == [31373, 220, 50256, 995, 0] == [*Tokenizer.from_file(VOCAB).encode(text, add_special_tokens=False).ids, 0]

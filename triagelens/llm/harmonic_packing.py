@@ -17,7 +17,7 @@ sequence ids carry the partition number. Pipelines feed this from a written tabl
 
 Edge cases: a null or empty text is its closing id alone. A null doc_id is carried
 through. Repeated rows are packed each. Empty table: empty result. Extra columns are
-ignored. Control-token strings inside a text are ordinary text.
+ignored. The vocabulary's added token is matched inside texts, as ``tokenizers`` does.
 """
 
 from __future__ import annotations
@@ -36,6 +36,10 @@ from pyspark.sql import functions as F
 CAPACITY = 1024
 GRANULE = 64
 CLOSING_ID = 0
+# ---- Fixed values: the added token of the contract's vocabulary file and its id ----
+ADDED = "<|endoftext|>"
+ADDED_ID = 50256
+# -----------------------------------------------------------------------------------
 SEQUENCE_BITS = 40       # sequences of one partition
 MEMO_WORDS = 600_000   # remembered encodings per task; the memo starts anew beyond
 OUT_BYTES = 4 << 20      # ids of one output batch
@@ -76,6 +80,12 @@ class Encoder(dict):
         first, *rest = text.split(" ")
         return b"".join([self.whole(first), *[self[w] for w in rest]])
 
+    def contract_ids(self, text: str) -> bytes:
+        """Ids with the added token matched: the texts between its occurrences are encoded on their own."""
+        if ADDED not in text:
+            return self.ids(text)
+        return np.asarray([ADDED_ID], "<u4").tobytes().join([self.ids(part) for part in text.split(ADDED)])
+
 
 def cuts(n: int, capacity: int, granule: int) -> list[int]:
     """Piece lengths of a document of n tokens: whole sequences, halves down to the granule, the rest."""
@@ -157,7 +167,7 @@ def pack(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for row in packer.put(doc, encoder.ids(text.as_py() or "") + closing):
+                for row in packer.put(doc, encoder.contract_ids(text.as_py() or "") + closing):
                     rows.append(row)
                     size += len(row[3]) + 64
                 if size >= OUT_BYTES:
