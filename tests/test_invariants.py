@@ -10,7 +10,7 @@ from triagelens.operators import sampling as S
 from triagelens.operators.bootstrap import bootstrap_ci
 from triagelens.plans import catalog as C
 from triagelens.plans import fixtures as FX
-from conftest import SF_MID, SF_SMALL
+from paths import SF_MID, SF_SMALL
 
 
 def test_sample_sizes_and_partition_independence(spark):
@@ -102,3 +102,27 @@ def test_retrieval_edge_cases(spark):
     assert [p for _, p in sorted(got[10])][0] == 1   # best match first; fewer than k hits allowed
     weak = {r.qid: r.weak for r in R.weak_grounding(queries, hits, "qid").collect()}
     assert weak[11] and weak[12]
+
+
+def test_sample_plan_scores_once(spark):
+    """The scoring rules stand in one projection: no filter repeats them, and no second pass does."""
+    sample = S.stratified_sample(C.doc_pool(spark, SF_SMALL), "difficulty_bucket", REFERENCE_TARGETS, "doc_id", 42)
+    plan = sample._jdf.queryExecution().executedPlan().toString()
+    lines = plan.split("\n")
+    assert not any("Filter" in x and "element_at(array" in x.lower() for x in lines)
+    assert sum("AS difficulty_score" in x for x in lines) == 1
+    assert plan.count("WindowGroupLimit") >= 3  # before and after the first exchange, and before the second
+
+
+def test_sample_of_odd_strata(spark):
+    """Null strata and strata without a target give no rows; repeated ids are rows of their own; empty tables stay empty."""
+    rows = [(i, "ab"[i % 2]) for i in range(40)] + [(100, None), (101, "c"), (3, "b"), (3, "b")]
+    df = spark.createDataFrame(rows, "id long, s string")
+    got = S.stratified_sample(df, "s", {"a": 5, "b": 100}, "id", 7)
+    assert dict(got.groupBy("s").count().collect()) == {"a": 5, "b": 22}
+    assert sorted(r.sample_rank for r in got.where("s = 'b'").collect()) == list(range(1, 23))
+    by_int = dict(S.stratified_sample(df, "s", 3, "id", 7).groupBy("s").count().collect())
+    assert by_int == {"a": 3, "b": 3, "c": 1}
+    assert S.stratified_sample(df.where("false"), "s", 3, "id").count() == 0
+    ranks = S.seeded_shuffle(df.dropDuplicates(["id"]), "id", 9)
+    assert sorted(r.shuffle_rank for r in ranks.collect()) == list(range(1, 43))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from triagelens.operators.stages import StageStore, call_model
 from triagelens.plans import agent_run as AR
 from triagelens.plans.stub_model import StubModel
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def Counting(counter, **kw):

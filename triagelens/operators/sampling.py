@@ -2,9 +2,10 @@
 
 Order inside a stratum is md5('seed:id') then id, so picks are exact, repeatable
 and independent of partitioning. A stratum may hold a third of all rows, so no
-window ever runs over a whole stratum: each stratum is cut into 16**digits
-sub-buckets by the hash prefix (contiguous ranges of the same order), a tiny
-table of sub-bucket counts gives each sub-bucket its offset, and ranks are
+window ever runs over a whole stratum. A sample keeps the leaders of each part of a
+stratum first and ranks only those together. A full ranking cuts each stratum into
+16**digits sub-buckets by the hash prefix (contiguous ranges of the same order); a
+tiny table of sub-bucket counts gives each sub-bucket its offset, and ranks are
 computed inside sub-buckets only.
 """
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .util import checked_broadcast, hex_prefix_int, seeded_hash
 
+SALTS = 256       # parts of a stratum that a sample ranks apart before it ranks their leaders together
 SALT_DIGITS = 4  # 65,536 sub-buckets per stratum: 1.5M rows each at 10^11 rows a stratum
 
 
@@ -23,13 +25,6 @@ def _keyed(df: DataFrame, id_col: str, seed, digits: int) -> DataFrame:
             .withColumn("__sub", hex_prefix_int(F.col("__h"), digits)))
 
 
-def _offsets(keyed: DataFrame, strata: list[str]) -> DataFrame:
-    counts = keyed.groupBy(*strata, "__sub").agg(F.count(F.lit(1)).alias("__cnt"))
-    before = Window.partitionBy(*strata).orderBy("__sub").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select(*strata, "__sub", "__cnt",
-                         F.coalesce(F.sum("__cnt").over(before), F.lit(0)).cast("long").alias("__off"))
-
-
 def _join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys],
                      *[c for c in right.columns if c not in keys])
@@ -60,42 +55,32 @@ def stratified_rank(df: DataFrame, strata: list[str], id_col: str, seed=42,
 
 
 def stratified_sample(df: DataFrame, strata_col: str, targets: dict[str, int] | int, id_col: str,
-                      seed=42, digits: int = SALT_DIGITS) -> DataFrame:
+                      seed=42, salts: int = SALTS) -> DataFrame:
     """M1: the first ``targets[s]`` rows of each stratum in seeded order (all if fewer).
 
     ``targets`` is a dict per stratum, or one int for every stratum present.
-    Only sub-buckets that start before the target are read past the count step,
-    and rows outside them are filtered by id before the input is recomputed.
-    With a dict the kept sub-bucket table is at most len(targets) * 16**digits
-    rows, a proven bound for the broadcast; with an int it is counted first.
-    The window also carries ``rn <= max target`` so Spark plans a partial
-    WindowGroupLimit before the shuffle.
+    One pass over the input. A first window keeps the leading rows of each (stratum,
+    salt), the salt being cut from the seeded hash; Spark plans its bound as a group
+    limit before the exchange, so a task sends at most ``max target`` rows of a pair
+    however many rows a stratum has. A second window ranks the at most
+    ``salts * max target`` rows left of each stratum. The stratum meets no join and no
+    filter that infers not-null, so a costly stratum expression is never pushed down
+    and computed again. A row with a null stratum has no target.
     """
-    keyed = _keyed(df, id_col, seed, digits)
-    if isinstance(targets, dict):  # strata without a target get a null target and drop below
+    if isinstance(targets, dict):
         tmap = F.create_map(*[x for k, v in targets.items() for x in (F.lit(k), F.lit(int(v)))])
-        target_col = F.element_at(tmap, F.col(strata_col))
-        bound = len(targets) * 16 ** digits
-        max_target = max(int(v) for v in targets.values())
+        # coalesce, because a null-intolerant comparison would infer "stratum is not null"
+        target = F.coalesce(F.element_at(tmap, F.col(strata_col)), F.lit(0))
+        most = max(int(v) for v in targets.values())
     else:
-        target_col = F.lit(int(targets))
-        bound = None
-        max_target = int(targets)
-    offsets = (_offsets(keyed, [strata_col])
-               .withColumn("__target", target_col)
-               .where(F.col("__off") < F.col("__target"))
-               .drop("__cnt"))
-    kept = checked_broadcast(offsets, bound=bound)
-    # The sub-bucket is a function of the id alone, so rows outside every kept
-    # sub-bucket are dropped before the input's own (possibly costly) columns are
-    # computed again: the filter is pushed below them. At most 16**digits values.
-    kept_subs = sorted(r[0] for r in offsets.select("__sub").distinct().collect())
-    cand = keyed.where(F.col("__sub").isin(kept_subs)).join(kept, [strata_col, "__sub"])
-    local = Window.partitionBy(strata_col, "__sub").orderBy("__h", id_col)
-    ranked = cand.withColumn("__rn", F.row_number().over(local)).where(F.col("__rn") <= max_target)
-    return (ranked.withColumn("sample_rank", (F.col("__rn") + F.col("__off")).cast("long"))
-            .where(F.col("sample_rank") <= F.col("__target"))
-            .drop("__h", "__sub", "__rn", "__off", "__target"))
+        target = F.when(F.col(strata_col).isNotNull(), F.lit(int(targets))).otherwise(F.lit(0))
+        most = int(targets)
+    keyed = (df.withColumn("__h", seeded_hash(id_col, seed))
+             .withColumn("__salt", F.pmod(F.crc32("__h"), F.lit(salts))))
+    for keys in ([strata_col, "__salt"], [strata_col]):
+        order = Window.partitionBy(*keys).orderBy("__h", id_col)
+        keyed = keyed.withColumn("sample_rank", F.row_number().over(order).cast("long")).where(F.col("sample_rank") <= most)
+    return keyed.where(F.col("sample_rank") <= target).drop("__h", "__salt")
 
 
 def sample_shortfall(df: DataFrame, strata_col: str, targets: dict[str, int]) -> DataFrame:
@@ -114,10 +99,9 @@ def sample_shortfall(df: DataFrame, strata_col: str, targets: dict[str, int]) ->
 
 
 def seeded_shuffle(sample: DataFrame, id_col: str, seed=43, rank_col: str = "shuffle_rank") -> DataFrame:
-    """M2: whole-sample shuffle as a rank column. The sample is bounded by the sum of
-    the targets, so one ordered window over it is fine."""
-    w = Window.orderBy(seeded_hash(id_col, seed), F.col(id_col))
-    return sample.withColumn(rank_col, F.row_number().over(w).cast("long"))
+    """M2: whole-table shuffle as a rank column: one stratum, ranked by its sub-buckets, so
+    the table may have any size."""
+    return stratified_rank(sample, [], id_col, seed, rank_col)
 
 
 def stratified_batches(df: DataFrame, strata_col: str, n_batches: int, id_col: str,

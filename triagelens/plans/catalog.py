@@ -89,15 +89,17 @@ def conv_scored_pool(spark, sf):
 
 
 def conv_golden_ids(spark, sf):
-    """Golden ids drawn from the pool; bounded by the sum of the targets."""
+    """Golden ids drawn from the pool; bounded by the sum of the targets, and parked: the
+    sample is drawn once, however often its ids are read."""
     sample = S.stratified_sample(conv_scored_pool(spark, sf), "difficulty_bucket", FX.CONV_TARGETS,
                                  "tweet_id", FX.SEED)
-    return sample.select(F.col("tweet_id").alias("message_id"))
+    return sample.select(F.col("tweet_id").alias("message_id")).checkpoint(eager=True)
 
 
-def conv_retrieval_pool(spark, sf, flag: bool = True):
+def conv_retrieval_pool(spark, sf, flag: bool = True, golden=None):
     pairs = T.thread_pairs(FX.messages(spark, sf), FX.BRAND)
-    pool = T.exclude_ids(pairs, conv_golden_ids(spark, sf), "cust_tweet_id", "message_id",
+    golden = conv_golden_ids(spark, sf) if golden is None else golden
+    pool = T.exclude_ids(pairs, golden, "cust_tweet_id", "message_id",
                          max_broadcast_rows=sum(FX.CONV_TARGETS.values()))
     return T.mis_threaded(pool) if flag else pool
 
@@ -120,7 +122,8 @@ def q_retrieval_pool(spark, sf):
 @register("pool_step_counts")
 def q_pool_step_counts(spark, sf):
     pairs = T.thread_pairs(FX.messages(spark, sf), FX.BRAND)
-    return T.pool_step_counts(pairs, conv_retrieval_pool(spark, sf, flag=False), conv_golden_ids(spark, sf))
+    golden = conv_golden_ids(spark, sf)
+    return T.pool_step_counts(pairs, conv_retrieval_pool(spark, sf, flag=False, golden=golden), golden)
 
 
 # ---------------------------------------------------------------- sampling
@@ -351,14 +354,15 @@ def q_weak_grounding(spark, sf):
     return R.weak_grounding(bench, benchmark_hits(spark, sf), "item_id", 0.2)
 
 
-def conv_golden_queries(spark, sf):
+def conv_golden_queries(spark, sf, golden):
     msgs = FX.messages(spark, sf).select(F.col("tweet_id").alias("message_id"), "text")
-    return msgs.join(conv_golden_ids(spark, sf), "message_id", "left_semi")
+    return msgs.join(golden, "message_id", "left_semi")
 
 
 def conv_grounding(spark, sf):
-    pool = conv_retrieval_pool(spark, sf, flag=False)
-    hits = R.retrieve(conv_golden_queries(spark, sf), pool, "message_id", "text", "reply_tweet_id", "cust_text", k=3)
+    golden = conv_golden_ids(spark, sf)
+    pool = conv_retrieval_pool(spark, sf, flag=False, golden=golden).checkpoint(eager=True)  # fitted, indexed and joined
+    hits = R.retrieve(conv_golden_queries(spark, sf, golden), pool, "message_id", "text", "reply_tweet_id", "cust_text", k=3)
     hits = hits.join(pool.select("reply_tweet_id", "cust_text", "brand_reply"), "reply_tweet_id")
     return R.with_grounding(hits, "message_id", "cust_text", "brand_reply")
 
