@@ -177,3 +177,70 @@ a AS (SELECT conv_id, count(*) AS n_turns, sum(n)::BIGINT AS formatted_chars,
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
 FROM a
 """
+
+SQL["op11_ranked_search"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+t AS (
+  SELECT r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM d),
+c AS (SELECT r, doc_id, t, count(*) AS tf FROM t GROUP BY r, doc_id, t),
+n AS (SELECT r, sum(tf)::BIGINT AS n FROM c GROUP BY r),
+s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM n),
+i AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark WHERE item_id IS NOT NULL),
+w AS (
+  SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM c, s
+  WHERE t IN (SELECT t FROM i) GROUP BY t, docs),
+x AS (
+  SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms))))::BIGINT AS score
+  FROM c JOIN w USING (t) JOIN i USING (t) JOIN n USING (r), s GROUP BY item_id, r, doc_id),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM x
+      WHERE score > 0 AND doc_id IS NOT NULL)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+SQL["op12_spelling_variants"] = r"""
+WITH RECURSIVE b AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, x: xor(c >> 1, (c & 1) * 3988292384))) AS t),
+r AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[a-z\x{00C0}-\x{00FF}]+')) AS w FROM documents),
+c AS (SELECT doc_id, w, count(*) AS n FROM r WHERE length(w) >= 6 GROUP BY doc_id, w),
+h AS (
+  SELECT w, n, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || w, ''),
+    lambda ch: CASE WHEN unicode(ch) < 128 THEN [unicode(ch)::BIGINT] ELSE [195::BIGINT, unicode(ch)::BIGINT - 64] END))),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM c, b),
+m AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM m WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+p AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+g AS (SELECT DISTINCT word, n, i, substr(word, 1, i - 1) AS pre, substr(word, i + 1) AS post FROM p),
+e AS (
+  SELECT a.word, a.n, z.word AS near, z.n AS near_n FROM g a JOIN g z USING (i, pre, post) WHERE a.word <> z.word
+  UNION SELECT a.word, a.n, z.word, z.n FROM v a JOIN g z ON a.word = z.pre || z.post
+  UNION SELECT z.word, z.n, a.word, a.n FROM v a JOIN g z ON a.word = z.pre || z.post),
+o AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS k, count(*) OVER (PARTITION BY word) AS n_near FROM e),
+f AS (SELECT word, near AS form, near_n AS form_n FROM o WHERE k = 1 AND near_n >= 5 * n),
+q AS (SELECT word, word AS root, 0 AS depth FROM v UNION ALL SELECT q.word, f.form, depth + 1 FROM q JOIN f ON f.word = q.root)
+SELECT v.word, f.form, (SELECT arg_max(root, depth) FROM q WHERE q.word = v.word) AS root, v.n, coalesce(o.n_near, 0)::BIGINT AS n_near,
+  f.form_n FROM v LEFT JOIN o ON o.word = v.word AND o.k = 1 LEFT JOIN f ON f.word = v.word
+"""
+
+SQL["op13_warc"] = """
+WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT *, octet_length(h)::BIGINT AS n, sha1(h) AS s, max(page_id) OVER (PARTITION BY h) AS top FROM p),
+r AS (SELECT *, CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to FROM g),
+w AS (
+  SELECT *, 'HTTP/1.1 200 OK' || e || 'Content-Type: text/html; charset=utf-8' || e || 'Content-Length: ' || n || e || e AS http
+  FROM r, (SELECT chr(13) || chr(10) AS e)),
+x AS (SELECT *, strlen(http) + CASE WHEN refers_to IS NULL THEN n ELSE 0 END AS size FROM w)
+SELECT page_id, n AS payload_bytes, s AS payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+  refers_to, (strlen(concat_ws(e, 'WARC/1.1', 'WARC-Type: ' || CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END,
+    'WARC-Record-ID: <info:page/' || coalesce(page_id::VARCHAR, '') || '>', 'WARC-Date: 1970-01-01T00:00:00Z',
+    'WARC-Target-URI: ' || replace(replace(url, chr(13), '%0D'), chr(10), '%0A'), 'WARC-Payload-Digest: sha1:' || s,
+    'WARC-Refers-To: <info:page/' || refers_to || '>',
+    CASE WHEN refers_to IS NOT NULL THEN 'WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest' END,
+    'Content-Type: application/http; msgtype=response', 'Content-Length: ' || size)) + 4 + size)::BIGINT AS record_bytes FROM x
+"""

@@ -10,8 +10,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (backoff_lm, chat_masks, harmonic_packing, maxplus_sentencepiece, ordinal_quality, rule_ledger,
-               secret_entropy, simhash_mih, url_templates, vafile_search)
+from ..session import scratch_path
+from . import (backoff_lm, chat_masks, harmonic_packing, maxplus_sentencepiece, ordinal_quality, reversed_search,
+               rule_ledger, secret_entropy, simhash_mih, spelling_pivots, url_templates, vafile_search, warc_archive)
 from .common import prepare, read
 
 
@@ -97,9 +98,28 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", simhash_mih.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reversed_search.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling_pivots.vocabulary(read(spark, sf_dir, "documents"), min_chars=6, min_count=5, noise=199)
+    return spelling_pivots.group(words, ratio=5)
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc_archive.write(read(spark, sf_dir, "pages"), path, min_bytes=1000)
+    records = warc_archive.read_back(spark, path)
+    return records.select(F.col("id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"),
+                          F.sha1("payload").alias("payload_digest"), "record_type", "refers_to",
+                          F.octet_length("record").cast("long").alias("record_bytes"))
+
+
 OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_exact_topk, op2_url_filter, op3_quality_rules, op4_packing, op5_secret_scan,
-                               op6_chat_formatting, op7_sentencepiece, op8_lm_score, op9_quality_classifier, op10_simhash)
+                               op6_chat_formatting, op7_sentencepiece, op8_lm_score, op9_quality_classifier, op10_simhash,
+                               op11_ranked_search, op12_spelling_variants, op13_warc)
 }
 
 
