@@ -85,12 +85,15 @@ def heavy_terms(corpus: DataFrame, terms_col: str, n: int, tracked: int = TRACKE
     n = min(n, tracked)
     each = corpus.select((F.spark_partition_id() % SKETCH_GROUPS).alias("g"), one_by_one(F.col(terms_col), "t")).where("t is not null")
     part = each.groupBy("g").agg(F.expr(f"approx_top_k_accumulate(t, {tracked})").alias("s"), F.count(F.lit(1)).alias("m"))
-    rows = part.agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"), F.sum("m").alias("m"))
+    # grouped by a constant: without rows there is no sketch to merge, and no row
+    rows = part.groupBy(F.lit(1)).agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"), F.sum("m").alias("m"))
     top = rows.select(F.expr(f"approx_top_k_estimate(s, {n})").alias("x"), "m").first()
-    found = [(r["item"], r["count"]) for r in (top["x"] or [])]
+    if top is None:
+        return [], 0
+    found = [(r["item"], r["count"]) for r in top["x"]]
     # estimates that add up to all occurrences are exact, and nothing else occurred
-    whole = sum(c for _, c in found) == (top["m"] or 0)
-    return found, 0 if whole else (found[-1][1] if found else 0)
+    whole = sum(c for _, c in found) == top["m"]
+    return found, 0 if whole else found[-1][1]
 
 
 def counted(corpus: DataFrame, terms_col: str, vocabulary: list[str]) -> DataFrame:

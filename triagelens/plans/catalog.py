@@ -303,6 +303,11 @@ def q_bootstrap_ci(spark, sf):
     return bootstrap_ci(FX.labels(spark, sf), "quality", "doc_id", 2000, 0.95, FX.SEED, "index")
 
 
+@register("bootstrap_ci_split")
+def q_bootstrap_ci_split(spark, sf):
+    return bootstrap_ci(FX.labels(spark, sf), "quality", "doc_id", 2000, 0.95, FX.SEED, "split")
+
+
 @register("bootstrap_ci_poisson")
 def q_bootstrap_ci_poisson(spark, sf):
     return bootstrap_ci(FX.labels(spark, sf), "quality", "doc_id", 2000, 0.95, FX.SEED, "poisson")
