@@ -21,7 +21,6 @@ over all terms decides; so the vocabulary is the same either way.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
@@ -29,6 +28,8 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expr import let
+
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 TRACKED = 1 << 17       # terms a sketch tracks at most: its size, whatever the corpus
 CANDIDATES = 3          # candidates counted exactly, per term of the vocabulary
@@ -41,12 +42,6 @@ def tokens(text) -> Column:
     return F.regexp_extract_all(F.lower(t), F.lit(f"({TOKEN_PATTERN})"), 1)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once: array functions over a lambda evaluate
-    their arguments wherever they stand."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def terms(text) -> Column:
     """Unigrams followed by bigrams of one text."""
     def both(toks: Column) -> Column:
