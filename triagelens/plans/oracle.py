@@ -647,3 +647,69 @@ from r"""
 SQL["logreg_certificate"] = f"""
 select (select count(*) from {GOLDEN} where true_intent is not null) as n, (select count(*) from {vocab_sql(GOLDEN, 'text')}) as n_terms,
        (select count(distinct true_intent) from {GOLDEN}) as n_classes, true as gradient_ok, true as gap_ok"""
+
+# Fuzzy judge keys: common blocks by recursion over (name, word) string pairs, then the picks field by field.
+
+_J = [f"j.judge_{d}" for d in FX.DIMENSIONS]
+_NAMES = ["accuracy", "relevance", "tone", "escalation_judgment", "overall"]
+
+
+def _judge_shape(names=_NAMES, quote="", notes=None, note_key="notes", skip=()) -> str:
+    parts = [f"'\"{n}\": {quote}' || {v} || '{quote}'" for n, v, own in zip(names, _J, _NAMES) if own not in skip]
+    body = " || ', ' || ".join(parts) + (f" || ', \"{note_key}\": \"{notes}\"'" if notes else "")
+    return "'{' || " + body + " || '}'"
+
+
+_JUDGE_SHAPES = [
+    _judge_shape(notes="fine"), _judge_shape([n.replace("judgment", "justment") for n in _NAMES], notes="typo"),
+    _judge_shape([n.replace("overall", "overal") for n in _NAMES], notes="short keys", note_key="note"),
+    _judge_shape(skip=("tone",)), "'```json' || chr(10) || " + _judge_shape(notes="fenced") + " || chr(10) || '```'",
+    _judge_shape([n.replace("accuracy", "acuracy") for n in _NAMES], notes="x"), _judge_shape(quote='"', notes="strings"),
+    "'no scores today'"]
+_JUDGE_RESPONSES = f"""(select message_id as doc_id, shape, case shape {" ".join(f"when {i} then {e}" for i, e in enumerate(_JUDGE_SHAPES))} end as raw
+  from (select *, (('0x' || substr(md5(message_id::varchar), 1, 2))::int % 8)::int as shape from {JUDGE}) j)"""
+_JUDGE_PARSED = _PARSED.replace(RESPONSES, _JUDGE_RESPONSES).replace("with jb as", "with recursive jb as", 1)
+_FIELDS = [*_NAMES, "notes"]
+
+
+def _best(a: str, b: str) -> str:
+    return f"""list_min(list_filter(flatten(list_transform(range(1, length({b}) + 1), lambda j: list_transform(range(j, length({b}) + 1),
+      lambda e: [-(e - j + 1), instr({a}, {b}[j:e]), j]))), lambda x: x[2] > 0))"""
+
+
+_VALUES = ",\n".join(
+    f"       case when v.js is null then null when k.picks[{i}] is null then 3 when try_cast(v{i}.val as double) = floor(try_cast(v{i}.val as double)) "
+    f"then try_cast(v{i}.val as double)::int end as {f}" for i, f in enumerate(_NAMES, 1))
+_JOINS = " ".join(f"left join kv v{i} on v{i}.doc_id = v.doc_id and v{i}.key = k.picks[{i}]" for i in range(1, 7))
+
+SQL["judge_fields"] = f"""{_JUDGE_PARSED},
+f as (select unnest(range(1, 7)) as i, unnest({_FIELDS!r}) as f),
+pair as (select distinct f, key from kv, f),
+rec as (
+  select f, key, key as a, f as b, {_best("key", "f")} as x from pair
+  union all
+  select f, key, c.a, c.b, {_best("c.a", "c.b")} from (
+    select f, key, unnest([{{'a': a[1:x[2] - 1], 'b': b[1:x[3] - 1]}}, {{'a': a[x[2] - x[1]:], 'b': b[x[3] - x[1]:]}}]) as c
+    from rec where x is not null) where c.a <> '' and c.b <> ''),
+sim as (select f, key, 2.0::double * sum(-x[1]) / (length(f) + length(key)) as r from rec where x is not null group by f, key),
+cand as (
+  select d.doc_id, f.i, f.f, bool_or(kv.key = f.f) as own, list(sim.key order by sim.r desc, sim.key desc) filter (where sim.r >= 0.6) as ks
+  from (select doc_id from v where js is not null) d cross join f left join kv on kv.doc_id = d.doc_id
+  left join sim on sim.f = f.f and sim.key = kv.key group by d.doc_id, f.i, f.f),
+pick as (
+  select distinct doc_id, 0::bigint as i, []::varchar[] as picks from cand
+  union all
+  select p.doc_id, p.i + 1, list_append(p.picks, case when c.own then c.f else list_filter(c.ks, lambda k: not list_contains(p.picks, k))[1] end)
+  from pick p join cand c on c.doc_id = p.doc_id and c.i = p.i + 1),
+k as (select * from pick where i = 6),
+m as (select doc_id, string_agg(case when k.picks[f.i] is null then f.f end, ',' order by f.i) as defaulted,
+             string_agg(case when k.picks[f.i] is null then chr(39) || f.f || chr(39) end, ', ' order by f.i) as quoted,
+             string_agg(case when k.picks[f.i] <> f.f then f.f || '<-' || k.picks[f.i] end, ',' order by f.i) as recovered
+      from k, f group by doc_id)
+select v.doc_id as message_id, v.shape, v.parse_path,
+{_VALUES},
+       case when v.js is not null then trim(coalesce(v6.val, '') || case when m.quoted is null then ''
+            else ' [warning: fields [' || m.quoted || '] defaulted, not real model output]' end) end as notes,
+       coalesce(m.defaulted, '') as defaulted, coalesce(m.recovered, '') as recovered
+from v left join k using (doc_id) left join m using (doc_id) {_JOINS}"""
+
