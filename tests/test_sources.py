@@ -1,7 +1,9 @@
 """CSV by column name, id sets over unlike files, stored pool and events, JSON summary, long threads."""
 
+import gzip
 import json
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -11,9 +13,10 @@ from triagelens.operators import threads as T
 from triagelens.session import scratch_path
 from triagelens.sources import sinks as K
 from triagelens.sources.adapters import messages_from_conversations
-from triagelens.sources.readers import csv_headers, read_csv, read_id_sets, read_stage_table
+from triagelens.sources.readers import cast_failures, csv_headers, read_csv, read_id_sets, read_stage_table
 from triagelens.sources.schemas import MESSAGES
 
+IDS_X = StructType([StructField("message_id", LongType()), StructField("x", StringType())])
 IDS = StructType([StructField("message_id", LongType())])
 
 
@@ -37,6 +40,23 @@ def test_id_sets_skip_unreadable_files(spark, tmp_path):
     assert read_id_sets(spark, f"{tmp_path}/none*.csv", IDS).count() == 0
 
 
+def test_damaged_files_fail_unless_told_otherwise(spark, tmp_path):
+    whole = gzip.compress(("message_id,x\n" + "".join(f"{i},{i * 7919 % 1000003}\n" for i in range(50_000))).encode())
+    (tmp_path / "golden_set_1.csv").write_text("message_id,x\n-1,a\n")
+    (tmp_path / "golden_set_2.csv.gz").write_bytes(whole[:len(whole) // 2])
+    with pytest.raises(Exception, match="(?i)failed_read_file|unexpected end|EOF"):
+        read_csv(spark, f"{tmp_path}/golden_set_2*", IDS_X).count()
+    got = {r.message_id for r in read_id_sets(spark, f"{tmp_path}/golden_set*", IDS).collect()}
+    assert -1 in got and len(got) < 50_001
+
+
+def test_cast_failures_are_counted(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("message_id,x\n1,7\noops,8\n,nine\n")
+    schema = StructType([StructField("message_id", LongType()), StructField("x", LongType()), StructField("gone", LongType())])
+    rows = {r.column_name: (r.n_rows, r.n_filled, r.n_failed) for r in cast_failures(spark, f"{tmp_path}/*.csv", schema).collect()}
+    assert rows == {"message_id": (3, 2, 1), "x": (3, 3, 1), "gone": (3, 0, 0)}
+
+
 def test_json_summary_and_missing_stage_table(spark):
     path = scratch_path(spark, "summary")
     got = K.write_json_summary(spark.createDataFrame([(0.5, 3)], "accuracy double, n long"), path)

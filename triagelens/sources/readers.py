@@ -81,13 +81,14 @@ def csv_headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[st
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType, columns=None,
-             permissive: bool = True, required: tuple[str, ...] = ()) -> DataFrame:
+             permissive: bool = True, required: tuple[str, ...] = (), skip_damaged: bool = False) -> DataFrame:
     """CSV scan with declared types, columns taken by name.
 
     ``path`` may be a glob (S3) over files whose columns differ in order and number: a
     file's extra columns are left out, its missing ones are null, and a file without a
-    ``required`` column is skipped like an unreadable one. Values that do not cast are
-    null (PERMISSIVE); blank strings are null.
+    ``required`` column is left out. Values that do not cast are null (PERMISSIVE; ``cast_failures``
+    counts them); blank strings are null. A file that cannot be read fails the scan, unless
+    ``skip_damaged`` says to go on with what was read.
     """
     wanted = [f for f in schema.fields if columns is None or f.name in columns]
     out = None
@@ -97,7 +98,7 @@ def read_csv(spark: SparkSession, path: str, schema: StructType, columns=None,
         text = StructType([StructField(f"c{i}", StringType()) for i in range(len(header))])
         df = (spark.read.schema(text).options(**CSV_OPTIONS)
               .option("mode", "PERMISSIVE" if permissive else "FAILFAST")
-              .option("ignoreCorruptFiles", "true").csv(files))
+              .option("ignoreCorruptFiles", str(skip_damaged).lower()).csv(files))
         at = {name: f"c{i}" for i, name in reversed(list(enumerate(header)))}
         cells = []
         for f in wanted:
@@ -109,10 +110,23 @@ def read_csv(spark: SparkSession, path: str, schema: StructType, columns=None,
     return out if out is not None else spark.createDataFrame([], StructType(wanted))
 
 
+def cast_failures(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """What a scan of ``path`` loses: ``column_name``, ``n_rows``, ``n_filled`` cells and ``n_failed``, those of
+    them that do not cast to the declared type. One pass, one row per column."""
+    text = StructType([StructField(f.name, StringType()) for f in schema.fields])
+    raw = read_csv(spark, path, text)
+    cells = F.explode(F.array(*[
+        F.struct(F.lit(f.name).alias("column_name"), F.col(f.name).isNotNull().alias("filled"),
+                 (F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull()).alias("failed"))
+        for f in schema.fields])).alias("c")
+    return raw.select(cells).groupBy("c.column_name").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if("c.filled").alias("n_filled"), F.count_if("c.failed").alias("n_failed"))
+
+
 def read_id_sets(spark: SparkSession, path_glob: str, schema: StructType,
                  id_col: str = "message_id") -> DataFrame:
-    """S3 + U1: ids from every file matching a glob, distinct."""
-    return read_csv(spark, path_glob, schema, [id_col], required=(id_col,)).where(F.col(id_col).isNotNull()).distinct()
+    """S3 + U1: ids from every file matching a glob, distinct. Unreadable files are skipped."""
+    return read_csv(spark, path_glob, schema, [id_col], required=(id_col,), skip_damaged=True).where(F.col(id_col).isNotNull()).distinct()
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
