@@ -65,3 +65,13 @@ def test_odd_rows(llm, odd_docs, no_docs):
     assert O.keep(odd_docs, flat).count() == odd_docs.count()
     assert O.keep(no_docs, model).count() == 0 and O.fit(no_docs, grades).thresholds.size == 0
     assert O.fit(odd_docs, grades, fit_rows=1, min_docs=1).thresholds.size == 0  # one row, one grade
+
+
+def test_a_repeated_id_is_one_row_of_the_fit(llm):
+    """A rated id on many rows reaches the solving task once, and the model does not depend on their order."""
+    docs = read(llm, SF, "documents").select("doc_id", "text").limit(60).checkpoint()
+    grades = O.graded(read(llm, SF, "labels"))
+    one = docs.join(grades, F.col("doc_id") == F.col("rated_id")).select("doc_id").first().doc_id
+    many = docs.unionByName(docs.where(F.col("doc_id") == one).crossJoin(llm.range(200)).select("doc_id", F.concat("text", F.lit(" zz")).alias("text")))
+    a, b = (O.fit(many.repartition(n), grades, min_docs=1) for n in (1, 7))
+    assert a.ids.tolist() == b.ids.tolist() and np.allclose(a.weights, b.weights) and np.allclose(a.thresholds, b.thresholds)

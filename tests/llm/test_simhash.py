@@ -91,3 +91,14 @@ def test_link_and_dedup(llm, odd_docs, no_docs):
     assert sorted(i for i in ids if i is not None) == sorted({x for x in least.values() if x is not None})
     assert ids.count(None) == 1
     assert S.link(no_docs).count() == 0 and S.dedup(no_docs).count() == 0
+
+
+def test_one_id_on_two_texts_loses_no_text(llm):
+    """Ids 5 and 7 stand on several texts: each component keeps one row, and only one."""
+    a, b, c = "first text of five words", "another text that differs wholly", "third one here and there"
+    rows = [(5, a, "x"), (5, b, "x"), (7, b, "y"), (5, a, "z"), (7, c, "y"), (7, c, "y"), (8, c, "w"), (9, "", "v"), (9, None, "u"), (None, a, "n")]
+    docs = llm.createDataFrame(rows, "doc_id long, text string, root string").repartition(4)
+    got = sorted(S.dedup(docs).collect(), key=str)
+    assert sorted((r.doc_id, r.text or "") for r in got if r.doc_id is not None) == sorted([(5, a), (5, b), (7, c), (9, "")])
+    assert sum(r.doc_id is None for r in got) == 1 and S.dedup(docs).columns == docs.columns
+    assert sorted(S.dedup(docs.repartition(1)).collect(), key=str) == got

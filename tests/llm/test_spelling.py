@@ -73,7 +73,8 @@ def test_vocabulary(llm, odd_docs, noise):
 
 def test_letters_and_flushes(llm, monkeypatch):
     monkeypatch.setattr(P, "HELD", 2)
-    text = "ÀÉÿ×÷ŒuvreÄb İIx ßßẞ àbc DON'T Éé日é"
+    monkeypatch.setattr(P, "HELD_BYTES", 300)
+    text = "ÀÉÿ×÷ŒuvreÄb İIx ßßẞ àbc DON'T Éé日é " + " ".join(["Long" * 40, "é" * 200, "Long" * 40])
     docs = [(1, text), (None, text), (1, text), (2, None), (3, "")]
     df = llm.createDataFrame(docs, "doc_id long, text string")
     got = P.vocabulary(df, min_chars=1, min_count=1)

@@ -61,3 +61,15 @@ def test_bounds_hold_and_prune():
 def test_empty(llm):
     df = llm.createDataFrame([], SCHEMA)
     assert V.top_k(df, F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_products_beyond_64_bits(llm):
+    """Exact where the best fit, an error where they do not: never a wrapped score."""
+    big = 2.0 ** 23
+    rows = [(0, [big, big]), (1, [-big, -big]), (2, [big, -big]), (3, [-big, 1.0])]
+    df = llm.createDataFrame(rows, "vec_id long, embedding array<double>")
+    wide = V.top_k(df, F.col("vec_id") == 0, k=1, scale=2 ** 8).collect()
+    assert [(r.vec_id, r.score) for r in wide] == [(2, 0)]
+    more = llm.createDataFrame([(0, [big * 4] * 4), (1, [big * 4] * 4), (2, [0.0] * 4)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="(?i)int too large|overflow|too big"):
+        V.top_k(more, F.col("vec_id") == 0, k=1).collect()

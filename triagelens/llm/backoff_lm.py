@@ -284,4 +284,6 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
 
     both = words.withColumn("kind", F.lit(0)).unionByName(pairs.withColumn("kind", F.lit(1)))
     out = groups.cogroup(both.groupBy("block")).applyInPandas(scores_of, SCORES)
-    return out.withColumn("train_tokens", F.lit(n).cast("long"))
+    out = parked(out.withColumn("train_tokens", F.lit(n).cast("long")), "lm_scores")
+    spark.sql(f"DROP TABLE {table}")  # the catalogue entry; the scores no longer need the blocks
+    return out

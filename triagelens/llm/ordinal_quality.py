@@ -214,12 +214,14 @@ def fit(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", text_col: st
             yield pd.Series([sorted(memo.of(t)) for t in batch])
 
     def solved(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rated_id", kind="stable").drop_duplicates("rated_id")
+        pdf = pdf.sort_values("rated_id", kind="stable")
         m = solve([np.asarray(r, np.int32) for r in pdf["ids"]], pdf["grade"].to_numpy(), **solver)
         return pd.DataFrame([[x.tobytes() for x in (m.ids, m.weights, m.thresholds)]], columns=["ids", "weights", "thresholds"])
 
-    # one task, one bounded sample: at most fit_rows lists of feature ids
+    # one task, one bounded sample: at most fit_rows lists of feature ids, for an id that repeats is
+    # reduced to its smallest list where its rows are
     rows = sample.select("rated_id", "grade", feature_ids("body").alias("ids"))
+    rows = rows.groupBy("rated_id", "grade").agg(F.min("ids").alias("ids"))
     model = rows.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(solved, "ids binary, weights binary, thresholds binary").first()
     if model is None:
         return OrdinalModel(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))

@@ -1,17 +1,16 @@
-"""SimHash near-duplicates by multi-index hashing.
+"""SimHash near-duplicates through tables of fingerprint neighbours.
 
 A text's fingerprint is the bitwise majority of the XXH64 hashes of its word
 shingles. Fingerprints within ``max_bits`` of each other are linked, and linked
 fingerprints form components.
 
-Index. The 64-bit fingerprint is cut into segments. For every segment the small
-Hamming ball around its value is enumerated while the other segments stay as they
-are, and every neighbour becomes a table key. Two fingerprints at distance d <= 2
-differ by at most one flip from a common key, so they meet in a table; a match is
-then verified on the complete distance. Keying on the segment value alone would put
-all near copies that share it in one bucket and pair them all; with the untouched
-segments in the key, a key meets at most 65 distinct fingerprints (the radius-1
-ball), so no bucket is hot however many copies the corpus holds. Within a key every
+Index. Multi-index hashing keeps a table per fingerprint segment, keyed by the
+segment's value alone; all near copies that share a segment then meet in one bucket and
+would be paired there. This index departs from it: the small Hamming ball is enumerated over
+the whole fingerprint, and every neighbour is a key of one table. Two fingerprints at
+distance d <= 2 differ by at most one flip from a common key, so they meet; a match is
+then verified on the complete distance. A key meets at most 65 distinct fingerprints (the
+radius-1 ball), so no bucket is hot however many copies the corpus holds. Within a key every
 fingerprint links to the smallest one: components need no other pair, and no
 pair list is ever built. Exact copies collapse to one fingerprint before any of it.
 
@@ -21,8 +20,9 @@ a probe to an index entry, so a link never exceeds ``max_bits``.
 Edge cases: a null or empty text has no words and fingerprint zero, linked like any
 other. Fewer words than a shingle: the whole sequence is the one shingle. Repeated
 shingles count every time. Rows with a null id get a fingerprint and their
-component's smallest id, but name no component. Empty table: empty result. Extra
-columns are ignored by ``fingerprints`` and ``link``, and kept by ``dedup``.
+component's smallest id, but name no component. An id that stands on several texts is a
+row of each of their components; ``dedup`` keeps one row per component all the same. Empty table:
+empty result. Extra columns are ignored by ``fingerprints`` and ``link``, and kept by ``dedup``.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from .common import components
 
@@ -62,14 +63,18 @@ def majority(data: bytes | None, shingle: int) -> int:
     return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``id_col``, ``fp`` (signed 64-bit) for every row."""
+def simhasher(shingle: int):
+    """Column function: the fingerprints of UTF-8 texts."""
     @F.pandas_udf("long")
     def simhash(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series([majority(t, shingle) for t in batch], dtype="int64")
+    return simhash
 
-    return docs.select(F.col(id_col), simhash(F.col(text_col).cast("binary")).alias("fp"))
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """``id_col``, ``fp`` (signed 64-bit) for every row."""
+    return docs.select(F.col(id_col), simhasher(shingle)(F.col(text_col).cast("binary")).alias("fp"))
 
 
 def ball(radius: int, segments: int = SEGMENTS) -> list[int]:
@@ -108,9 +113,8 @@ def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
             .where(distance(F.col("fp"), F.col("hub")) <= max_bits).distinct())
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
-         max_bits: int = 2) -> DataFrame:
-    """``id_col``, ``fp``, ``component_id`` (smallest id reachable) for every row."""
+def rooted(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int) -> DataFrame:
+    """``id_col``, ``fp``, ``root`` (a fingerprint that names the component) and ``component_id`` for every row."""
     marked = fingerprints(docs, id_col, text_col, shingle).checkpoint(eager=True)
     each = marked.groupBy("fp").agg(F.min(id_col).alias("low"), F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
     roots = components(links(each.select("fp"), max_bits), "fp", "hub").select(F.col("node").alias("fp"), "root")
@@ -118,24 +122,44 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     classed = each.join(roots, "fp", "left").where("root is not null or n > 1")
     classed = classed.select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = classed.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = classed.join(lows, "root").select("fp", "component_id")
+    named = classed.join(lows, "root").select("fp", "root", "component_id")
     return (marked.join(named, "fp", "left")
-            .select(id_col, "fp", F.coalesce("component_id", id_col).alias("component_id")))
+            .select(id_col, "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", id_col).alias("component_id")))
+
+
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+         max_bits: int = 2) -> DataFrame:
+    """``id_col``, ``fp``, ``component_id`` (smallest id reachable) for every row."""
+    return rooted(docs, id_col, text_col, shingle, max_bits).select(id_col, "fp", "component_id")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
           max_bits: int = 2) -> DataFrame:
     """One row of each component: the one whose id names it. Columns as given.
 
-    Rows with a null id cannot be named and stay. Repeated rows of the kept id
-    collapse to one."""
-    kept = (link(docs, id_col, text_col, shingle, max_bits).where(F.col(id_col) == F.col("component_id"))
-            .groupBy(id_col).agg(F.count(F.lit(1)).alias("copies")))
-    kept = kept.select(F.col(id_col).alias("kept_id"), "copies").checkpoint(eager=True)
-    on = docs[id_col] == kept["kept_id"]
-    once = docs.join(kept.where("copies = 1"), on, "left_semi")
-    more = docs.join(kept.where("copies > 1"), on, "left_semi").dropDuplicates([id_col])
-    return once.unionByName(more).unionByName(docs.where(F.col(id_col).isNull()))
+    Of several such rows (an id that repeats), the one with the smallest fingerprint, then
+    text, stays. Rows with a null id cannot be named and stay."""
+    rows = rooted(docs, id_col, text_col, shingle, max_bits).where(F.col(id_col).isNotNull())
+    mark = lambda c: F.when(F.col(id_col) == F.col("component_id"), F.col(c))
+    ids = rows.groupBy(id_col).agg(F.count(F.lit(1)).alias("copies"), F.min(mark("fp")).alias("fp"))
+    ids = ids.where("fp is not null").select(F.col(id_col).alias("kept_id"), "copies").checkpoint(eager=True)
+    once = docs.join(ids.where("copies = 1"), docs[id_col] == ids["kept_id"], "left_semi")
+    return once.unionByName(_repeated(docs, ids.where("copies > 1"), rows, id_col, text_col, shingle)).unionByName(
+        docs.where(F.col(id_col).isNull()))
+
+
+def _repeated(docs: DataFrame, ids: DataFrame, rows: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """Survivors among the rows whose id repeats: one per component, found by id and fingerprint."""
+    again = docs.join(ids, docs[id_col] == ids["kept_id"], "left_semi").select(F.struct(*docs.columns).alias("__row"))
+    again = again.select(
+        "__row", F.col(f"__row.{id_col}").alias("__id"), F.col(f"__row.{text_col}").alias("__text"))
+    again = again.withColumn("__fp", simhasher(shingle)(F.col("__text").cast("binary")))
+    named = rows.join(ids, rows[id_col] == ids["kept_id"], "left_semi").where(F.col(id_col) == F.col("component_id"))
+    named = named.select(F.col(id_col).alias("__rid"), F.col("fp").alias("__rfp"), F.col("root").alias("__root")).distinct()
+    found = again.join(named, (F.col("__id") == F.col("__rid")) & (F.col("__fp") == F.col("__rfp")))
+    plain = [F.col(f"__row.{f.name}") for f in docs.schema.fields if not isinstance(f.dataType, MapType)]
+    order = F.struct("__fp", F.coalesce("__text", F.lit("")), F.col("__text").isNull(), F.xxhash64(*plain))
+    return found.groupBy("__root").agg(F.min_by("__row", order).alias("__row")).select("__row.*")
 
 
 def hex16(fp: Column) -> Column:

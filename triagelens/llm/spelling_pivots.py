@@ -25,7 +25,7 @@ Edge cases: a null text has no words; a null document id counts as an empty stri
 where ids matter. Repeated rows count each. Ties of occurrences go to the smaller
 word in code-point order. Words shorter than ``SHORTEST`` letters have no two disjoint
 bigrams: they stay without near words and are nobody's. Texts of any length are counted whole, in bounded memory per
-distinct word held. Words without a near word have ``n_near`` 0. Empty table: empty result.
+distinct word held; runs of any length are words. Words without a near word have ``n_near`` 0. Empty table: empty result.
 Extra columns are ignored.
 """
 
@@ -47,6 +47,7 @@ EDITS = 1
 PREFIX = GRAM * EDITS + 1
 SHORTEST = GRAM * (EDITS + 1)  # letters of the shortest word that has disjoint pivots
 HELD = 200_000      # distinct words a task counts before it passes them on
+HELD_BYTES = 1 << 25  # or so many bytes of words of more than 100 letters
 MIN_CHARS, MIN_COUNT, RATIO = 6, 5, 5
 LETTERS = 26 + 64   # a-z and the Latin-1 letters: at most LETTERS ** 2 bigrams
 # Latin-1 bytes: A-Z lower case, a-z and 0xC0-0xFF stay, all others separate runs.
@@ -67,6 +68,7 @@ def misspelt(run: bytes, start: int, every: int) -> bytes:
 def counter(min_chars: int, noise: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
+        long_bytes = 0
 
         def flush() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array([w.decode("latin-1") for w in held], pa.string()),
@@ -82,8 +84,10 @@ def counter(min_chars: int, noise: int | None):
                         word = misspelt(word, start, noise) if noise else word
                         if len(word) >= min_chars:
                             held[word] += n
-                if len(held) >= HELD:
+                            long_bytes += len(word) if len(word) > 100 else 0
+                if len(held) >= HELD or long_bytes >= HELD_BYTES:
                     yield flush()
+                    long_bytes = 0
         yield flush()
     return run
 

@@ -16,7 +16,9 @@ Edge cases: vectors that are null, or hold a null or non-finite component, take
 part, nor do null ids. Vectors are compared with vectors of their own length only.
 A query id that occurs twice asks once, with its smallest vector; every candidate row
 counts. A query's own id is no candidate. Equal scores go to the smaller id. Fewer
-than k candidates: all of them. Empty table: empty result.
+than k candidates: all of them. Products beyond 64 bits are compared exactly; if one is among the
+best k, the job fails, as ``score`` could not hold it. Vectors of any length that fits a
+block (``BLOCK`` vectors at once) are held whole. Empty table: empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -76,6 +78,8 @@ class Approximation:
     def search(self, qids: np.ndarray, queries: np.ndarray, k: int, best: list[list[tuple[int, int]]]) -> None:
         """Fold this block into ``best``: per query the k best (-score, id), sorted."""
         lower, upper = self.bounds(queries)
+        # beyond 64 bits an integer product wraps: such blocks are scored in Python's integers
+        wide = float(np.abs(queries.astype(float)).sum(axis=1).max(initial=0)) * float(np.abs(self.exact.astype(float)).max(initial=0)) >= 2.0**62
         own = self.ids[None, :] == qids[:, None]
         lower[own], upper[own] = -np.inf, -np.inf
         n = len(self.ids)
@@ -92,7 +96,7 @@ class Approximation:
                 if len(have) == k and -have[-1][0] > tops[s]:
                     break
                 some = found[s:s + STEP]
-                scores = self.exact[some] @ q
+                scores = self.exact[some].astype(object) @ q.astype(object) if wide else self.exact[some] @ q
                 have = sorted([*have, *zip((-scores).tolist(), self.ids[some].tolist())])[:k]
             best[i] = have
 
