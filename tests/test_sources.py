@@ -1,9 +1,15 @@
 """CSV by column name, id sets over unlike files, stored pool and events, JSON summary, long threads."""
 
+import csv
 import gzip
+import io
 import json
+import os
+import random
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -13,7 +19,8 @@ from triagelens.operators import threads as T
 from triagelens.session import scratch_path
 from triagelens.sources import sinks as K
 from triagelens.sources.adapters import messages_from_conversations
-from triagelens.sources.readers import cast_failures, csv_headers, read_csv, read_id_sets, read_stage_table
+from triagelens.sources import csv_records as CR
+from triagelens.sources.readers import cast_failures, read_csv, read_id_sets, read_stage_table, scan_ledger
 from triagelens.sources.schemas import MESSAGES
 
 IDS_X = StructType([StructField("message_id", LongType()), StructField("x", StringType())])
@@ -36,7 +43,9 @@ def test_id_sets_skip_unreadable_files(spark, tmp_path):
     (tmp_path / "golden_set_3.csv").write_text("nothing,here\n5,5\n")
     (tmp_path / "golden_set_4.csv").write_bytes(b"")
     assert {r.message_id for r in read_id_sets(spark, f"{tmp_path}/golden_set*.csv", IDS).collect()} == {1, 2, 3}
-    assert len(csv_headers(spark, f"{tmp_path}/golden_set*.csv")) == 4
+    ledger = {r.path[-5]: (r.status, r.n_records, r.n_failed)
+              for r in scan_ledger(spark, f"{tmp_path}/golden_set*.csv", IDS, ("message_id",)).collect()}
+    assert ledger == {"1": ("read", 2, 0), "2": ("read", 3, 1), "3": ("columns missing", 0, 0)}
     assert read_id_sets(spark, f"{tmp_path}/none*.csv", IDS).count() == 0
 
 
@@ -48,6 +57,57 @@ def test_damaged_files_fail_unless_told_otherwise(spark, tmp_path):
         read_csv(spark, f"{tmp_path}/golden_set_2*", IDS_X).count()
     got = {r.message_id for r in read_id_sets(spark, f"{tmp_path}/golden_set*", IDS).collect()}
     assert -1 in got and len(got) < 50_001
+    ledger = {r.path.split("golden_set_")[1]: r for r in scan_ledger(spark, f"{tmp_path}/golden_set*", IDS).collect()}
+    assert ledger["1.csv"].status == "read" and ledger["2.csv.gz"].status == "damaged"
+    assert ledger["2.csv.gz"].n_records == len(got) - 1
+
+
+def test_records_at_every_cut(spark, tmp_path):
+    """Ranges of every size from a few bytes on give the rows of Python's csv module, however long a record."""
+    rnd = random.Random(5)
+    cell = lambda: "".join(rnd.choice(['a', 'é', ' ', ',', '"', '\n', '\r\n', '""', 'long cell ' * 4]) for _ in range(rnd.randint(0, 6)))
+    rows = [(str(i), cell() + "x", cell() + "y") for i in range(60)] + [("60", "line\n" * 300 + "end", "z")]
+    with open(tmp_path / "a.csv", "w", newline="", encoding="utf-8") as f:
+        w = csv.writer(f, lineterminator="\r\n")
+        w.writerow(["message_id", "x", "y"])
+        w.writerows(rows)
+        f.write('61,"five"" tape",a 5" pipe\n\n62,b,5" by 6"\n')  # stray quotes, a blank line
+    want = {int(i): (x, y) for i, x, y in rows} | {61: ('five" tape', 'a 5" pipe'), 62: ("b", '5" by 6"')}
+    schema = StructType([StructField("message_id", LongType()), StructField("x", StringType()), StructField("y", StringType())])
+    size = os.path.getsize(tmp_path / "a.csv")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for cut in (size + 1, 977, 251, 64):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(cut))
+            for bound, rows_broadcast in ((1 << 20, 1 << 20), (40, 0)):
+                recs, layouts, _ = CR.records(spark, str(tmp_path), bound=bound, broadcast_rows=rows_broadcast)
+                got = [next(csv.reader(io.StringIO(r.value, newline=""))) for r in recs.collect()]
+                assert layouts == [("message_id", "x", "y")]
+                assert {int(i): (x, y) for i, x, y in got} == want and len(got) == len(want), (cut, bound)
+            read = {r.message_id: (r.x, r.y) for r in read_csv(spark, f"{tmp_path}/a.csv", schema).collect()}
+            flat = lambda t: tuple(c.replace("\r\n", "\n") for c in t)
+            assert {k: flat(v) for k, v in read.items()} == {k: flat(v) for k, v in want.items()}, cut
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+@given(st.text(alphabet='ab",', max_size=14), st.booleans())
+def test_a_lines_function(line, inside):
+    """The state after a line equals a walk over its characters, cell by cell."""
+    state, begin, i = ("in" if inside else "begin"), True, 0
+    while i < len(line):
+        c = line[i]
+        if state == "in":
+            if c == '"' and line[i + 1:i + 2] == '"':
+                i += 1
+            elif c == '"':
+                state = "out"
+        elif c == ",":
+            state = "begin"
+        elif state == "begin":
+            state = "in" if c == '"' else "out"
+        i += 1
+    assert CR.ends_inside(line, inside) == (state == "in")
 
 
 def test_cast_failures_are_counted(spark, tmp_path):

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions import prompts as PR
 from ..functions import responses as RS
@@ -28,7 +28,7 @@ from ..operators.util import r6
 from ..operators.stages import StageStore
 from ..session import scratch_path
 from ..sources import sinks as K
-from ..sources.readers import profile, read_csv, read_id_sets
+from ..sources.readers import profile, read_csv, read_id_sets, scan_ledger
 from ..sources.schemas import GOLDEN as GOLDEN_SCHEMA
 from ..sources.schemas import POOL as POOL_SCHEMA
 from . import agent_run as AR
@@ -523,6 +523,20 @@ def q_exclusion_ids(spark, sf):
     return read_id_sets(spark, f"{base}/golden_set*", schema)
 
 
+@register("scan_ledger")
+def q_scan_ledger(spark, sf):
+    """S3: what a scan takes from each export, summed by export and status: ids that do not cast, and an export without ids."""
+    base = scratch_path(spark, "ledger")
+    lab = FX.labels(spark, sf)
+    written = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("n/a "), F.col("doc_id").cast("string"))).otherwise(F.col("doc_id").cast("string"))
+    K.write_csv(lab.select(written.alias("message_id"), F.lit("a \"b\",\nc").alias("text")), f"{base}/golden_set_a")
+    K.write_csv(lab.select(F.lit("x").alias("notes"), F.col("toxic")), f"{base}/golden_set_b")
+    schema = StructType([StructField("message_id", LongType())])
+    files = scan_ledger(spark, f"{base}/golden_set_*", schema, ("message_id",))
+    return files.groupBy(F.regexp_extract("path", "(golden_set_[ab])", 1).alias("export"), "status").agg(
+        F.sum("n_records").alias("n_records"), F.sum("n_failed").alias("n_failed"))
+
+
 @register("label_events")
 def q_label_events(spark, sf):
     """K5 + J5: label events stored one batch after another; the latest per id is the label."""

