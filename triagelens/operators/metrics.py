@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.difficulty import any_substring, caps_ratio, matched_groups, word_count
 from ..functions.lexicon import Lexicon
+from .percentiles import exact_percentiles
 from .util import r6
 
 ALL = "all"
@@ -160,17 +161,9 @@ def keyword_group_frequency(df: DataFrame, lex: Lexicon, text_col: str = "text")
 
 def threshold_percentiles(df: DataFrame, text_col: str = "text",
                           qs=(0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
-    """Exact linear-interpolation percentiles of word count and caps ratio.
-
-    Unpivoted to (metric, value) so one grouped aggregate serves both metrics.
-    Exact ``percentile`` keeps a value->count map per partial; word counts are a
-    small integer domain and caps ratios are rounded to 6 places.
-    """
+    """Exact linear-interpolation percentiles of word count and caps ratio, in bounded memory."""
     t = F.col(text_col)
-    longf = df.select(F.explode(F.array(
-        F.struct(F.lit("n_words").alias("metric"), word_count(t).cast("double").alias("v")),
-        F.struct(F.lit("caps_ratio").alias("metric"), F.round(caps_ratio(t), 6).alias("v")),
-    )).alias("s")).select("s.*")
-    out = longf.groupBy("metric").agg(F.percentile("v", list(qs)).alias("p"))
-    return out.select("metric", *[r6(F.col("p")[i]).alias(f"p{int(round(q * 100)):02d}")
-                                  for i, q in enumerate(qs)])
+    p = exact_percentiles(df.select(word_count(t).alias("n_words"), caps_ratio(t).alias("caps_ratio")),
+                          ["n_words", "caps_ratio"], qs)
+    return p.groupBy("metric").agg(*[r6(F.max(F.when(F.col("q") == q, F.col("value")))).alias(f"p{int(round(q * 100)):02d}")
+                                     for q in qs])

@@ -176,7 +176,7 @@ SQL["keyword_group_freq"] = "with d as (select text from documents), tot as (sel
 SQL["threshold_percentiles"] = f"""
 with v as (
   select 'n_words' as metric, {wc('text')}::double as v from documents
-  union all select 'caps_ratio', round({caps('text')}, 6) from documents),
+  union all select 'caps_ratio', {caps('text')} from documents),
 p as (select metric, quantile_cont(v, [0.05, 0.25, 0.5, 0.75, 0.95]) as p from v group by metric)
 select metric, round(p[1], 6) as p05, round(p[2], 6) as p25, round(p[3], 6) as p50,
        round(p[4], 6) as p75, round(p[5], 6) as p95 from p"""
