@@ -1,6 +1,8 @@
 """Resumable model stages: retries, failures as rows, zero calls when done."""
 
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from triagelens.operators.stages import StageStore, call_model
 from triagelens.plans import agent_run as AR
@@ -66,11 +68,11 @@ def test_a_stage_that_dies_keeps_its_finished_slices(spark):
     store, n = StageStore(spark), golden.count()
     append, wrote = store.append, []
 
-    def dying(stage, df, run_id):
+    def dying(stage, df, run_id, part):
         if wrote:
             raise RuntimeError("driver lost")
         wrote.append(stage)
-        append(stage, df, run_id)
+        append(stage, df, run_id, part)
     store.append = dying
     calls = spark.sparkContext.accumulator(0)
     try:
@@ -97,3 +99,52 @@ def test_no_decision_no_judge_and_stale_rows_follow(spark):
     more = AR.run_agent(spark, SF_SMALL, StubModel(fail_prefixes=""), out["store"])
     n = out["golden"].count()
     assert more["judge"].where("status = 'ok'").count() == n == AR.completion(more["results"]).first().n_a_done
+
+
+def small_log(spark, **kw):
+    schema = StructType([StructField("k", LongType()), StructField("v", StringType())])
+    put = lambda store, rows, run, part=0: store.append("s", spark.createDataFrame(rows, schema), run, part)
+    see = lambda store: {r.k: (r.v, r.written_at) for r in store.latest("s", schema, "k").collect()}
+    return StageStore(spark, **kw), schema, put, see
+
+
+def test_a_slice_counts_once_and_only_when_committed(spark):
+    store, schema, put, see = small_log(spark)
+    put(store, [(1, "a"), (2, "a")], 1)
+    commit, store._commit = store._commit, lambda *a: (_ for _ in ()).throw(RuntimeError("killed before the manifest"))
+    with pytest.raises(RuntimeError):
+        put(store, [(2, "b"), (3, "b")], 2)
+    store._commit = commit
+    assert see(store) == {1: ("a", 1), 2: ("a", 1)}  # written, not committed: not read
+    put(store, [(2, "b"), (3, "b")], 2)
+    put(store, [(2, "b"), (3, "b")], 2)  # the same slice again
+    assert see(store) == {1: ("a", 1), 2: ("b", 2), 3: ("b", 2)}
+    assert store.read("s", schema).count() == 4 == sum(e["n_rows"] for e in store.manifests("s"))
+    again = StageStore(spark, store.base)
+    assert see(again) == see(store)
+
+
+def test_snapshots_hold_no_superseded_rows(spark):
+    store, schema, put, see = small_log(spark, compact_after=3)
+    for run in (1, 2):
+        put(store, [(1, f"r{run}"), (run + 1, "x")], run)
+        store.compact("s", schema, "k")
+    assert all(e["kind"] == "slice" for e in store.manifests("s"))
+    put(store, [(1, "r3")], 3)
+    before = see(store)
+    store.compact("s", schema, "k")
+    snap = [e for e in store.manifests("s") if e["kind"] == "snapshot"]
+    assert [(e["n_rows"], sorted(e["covers"])) for e in snap] == [(3, ["1-0", "2-0", "3-0"])]
+    assert see(store) == before == {1: ("r3", 3), 2: ("x", 1), 3: ("x", 2)}
+    assert store.read("s", schema).count() == 5  # the log itself stays whole
+    assert [f for f in store.latest("s", schema, "k").inputFiles() if "slice-" in f] == []
+    put(store, [(2, "r4")], 4)
+    assert see(store)[2] == ("r4", 4) and len(see(store)) == 3
+
+
+def test_empty_slices_and_missing_stages(spark):
+    store, schema, put, see = small_log(spark, compact_after=1)
+    assert see(store) == {} and store.read("s", schema).count() == 0
+    put(store, [], 1)
+    store.compact("s", schema, "k")
+    assert see(store) == {} and {e["n_rows"] for e in store.manifests("s")} == {0}

@@ -28,7 +28,7 @@ from ..operators.util import r6
 from ..operators.stages import StageStore
 from ..session import scratch_path
 from ..sources import sinks as K
-from ..sources.readers import profile, read_csv, read_id_sets, scan_ledger
+from ..sources.readers import first_rows, profile, read_csv, read_id_sets, scan_ledger
 from ..sources.schemas import GOLDEN as GOLDEN_SCHEMA
 from ..sources.schemas import POOL as POOL_SCHEMA
 from . import agent_run as AR
@@ -53,6 +53,11 @@ def q_table_profile(spark, sf):
     return profile(FX.docs(spark, sf))
 
 
+@register("first_rows")
+def q_first_rows(spark, sf):
+    return first_rows(FX.docs(spark, sf), "doc_id")
+
+
 @register("difficulty_scored")
 def q_difficulty_scored(spark, sf):
     d = FX.docs(spark, sf).select("doc_id", "text")

@@ -153,9 +153,12 @@ def _poisson_cdf() -> list[float]:
 # ---------------------------------------------------------------- sources / difficulty
 
 SQL["table_profile"] = " union all ".join(
-    f"select '{c}' as column_name, {i + 1} as position, count(*) as n_rows, count(*) - count({c}) as n_null, "
+    f"select '{c}' as column_name, {i + 1} as position, '{t}' as data_type, count(*) as n_rows, count(*) - count({c}) as n_null, "
     f"count(distinct {c}) as n_distinct from documents"
-    for i, c in enumerate(["doc_id", "text", "lang", "source", "n_chars"]))
+    for i, (c, t) in enumerate([("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"),
+                                ("n_chars", "bigint")]))
+
+SQL["first_rows"] = "select * from documents order by doc_id limit 3"
 
 SQL["difficulty_scored"] = f"""
 select doc_id, n_words, round(caps_raw, 6) as caps_ratio, n_groups, is_emotional, is_unusual_length,

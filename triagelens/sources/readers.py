@@ -176,7 +176,7 @@ def read_stage_table(spark: SparkSession, path: str, schema: StructType) -> Data
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """One row per column with row, null and distinct counts, from a single aggregation.
+    """One row per column with its type and row, null and distinct counts, from a single aggregation.
 
     Exact distinct counts use one Expand per column; pass the columns you need.
     """
@@ -190,9 +190,15 @@ def profile(df: DataFrame) -> DataFrame:
     wide = df.agg(*aggs)
     stacked = F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.lit(i + 1).alias("position"),
+                 F.lit(df.schema[c].dataType.simpleString()).alias("data_type"),
                  (F.col("__n") - F.col(f"__nn_{c}")).alias("n_null"),
                  F.col(f"__nd_{c}").alias("n_distinct"))
         for i, c in enumerate(cols)
     ])).alias("s")
     return wide.select(F.col("__n").alias("n_rows"), stacked).select(
-        "s.column_name", "s.position", "n_rows", "s.n_null", "s.n_distinct")
+        "s.column_name", "s.position", "s.data_type", "n_rows", "s.n_null", "s.n_distinct")
+
+
+def first_rows(df: DataFrame, key: str, n: int = 3) -> DataFrame:
+    """The ``n`` rows of smallest ``key``; each task sends n rows."""
+    return df.orderBy(F.col(key).asc_nulls_last()).limit(n)
