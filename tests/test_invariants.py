@@ -126,3 +126,12 @@ def test_sample_of_odd_strata(spark):
     assert S.stratified_sample(df.where("false"), "s", 3, "id").count() == 0
     ranks = S.seeded_shuffle(df.dropDuplicates(["id"]), "id", 9)
     assert sorted(r.shuffle_rank for r in ranks.collect()) == list(range(1, 43))
+
+
+def test_broadcast_counts_rows_and_bytes(spark):
+    from triagelens.operators.util import checked_broadcast
+    df = spark.range(100).select("id", F.repeat(F.lit("é"), 1000).alias("t"), F.array(F.repeat(F.lit("x"), 500)).alias("a"))
+    hinted = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
+    assert hinted(checked_broadcast(df)) and hinted(checked_broadcast(df.limit(0)))
+    assert not hinted(checked_broadcast(df, limit=99))
+    assert hinted(checked_broadcast(df, byte_limit=300_000)) and not hinted(checked_broadcast(df, byte_limit=240_000))
