@@ -110,8 +110,12 @@ def confusion_pivot(df: DataFrame, true_col: str, pred_col: str, labels: list[st
 
 
 def top_confusions(df: DataFrame, true_col: str, pred_col: str, k: int = 5) -> DataFrame:
-    """The k most common (truth, wrong prediction) pairs; the limit is the report."""
-    wrong = confusion_long(df, true_col, pred_col).where(F.col("true_label") != F.col("pred_label"))
+    """The k most common (truth, wrong prediction) pairs; the limit is the report.
+
+    The condition holds the count, so it stays above the aggregate: pushed below, it would
+    compute a costly prediction again."""
+    wrong = confusion_long(df, true_col, pred_col).where(
+        F.when(F.col("true_label") != F.col("pred_label"), F.col("n")) > 0)
     return wrong.orderBy(F.desc("n"), "true_label", "pred_label").limit(k)
 
 

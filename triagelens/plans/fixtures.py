@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.difficulty import is_emotional, word_count
+from ..functions.expr import let
 from ..functions.lexicon import (
     CONVERSATIONS_LEXICON, DOCUMENTS_LEXICON, LANG_MARKERS, LANG_ORDER,
 )
@@ -61,15 +62,17 @@ def marker_count(lo: Column, marker: str) -> Column:
 
 def lang_prediction(text: Column, markers_per_lang: int | None = None) -> Column:
     """Rule-made intent prediction: language with most marker hits; null if none."""
-    lo = F.lower(text)
-    scores = {lang: reduce(lambda a, b: a + b,
-                           [marker_count(lo, m) for m in LANG_MARKERS[lang][:markers_per_lang]])
-              for lang in LANG_ORDER}
-    best = F.greatest(*scores.values())
-    expr = F.when(best == 0, F.lit(None).cast("string"))
-    for lang in LANG_ORDER:
-        expr = expr.when(scores[lang] == best, F.lit(lang))
-    return expr
+
+    def likeliest(lo: Column) -> Column:
+        scores = [reduce(lambda a, b: a + b, [marker_count(lo, m) for m in LANG_MARKERS[lang][:markers_per_lang]])
+                  for lang in LANG_ORDER]
+        # equal scores go to the language that comes first
+        ranked = F.array(*[F.struct(s.alias("hits"), F.lit(-i).alias("place"), F.lit(lang).alias("lang"))
+                           for i, (s, lang) in enumerate(zip(scores, LANG_ORDER))])
+        return let(F.array_max(ranked), lambda best: F.when(best["hits"] > 0, best["lang"]))
+
+    # the text is lowered once and every marker counted once
+    return let(F.lower(text), likeliest)
 
 
 def golden_with_predictions(spark: SparkSession, sf: str) -> DataFrame:
