@@ -49,6 +49,7 @@ def _interval(reps: DataFrame, mean_col, ci: float, n_boot: int, n_col) -> DataF
 
 
 REPLICATES = 50   # replicates of one task's group
+DRAWS_PER_TASK = 10_000_000  # draws of one task: its time stays the same however many rows there are
 
 
 def split_counts(values: DataFrame, n_boot: int, seed: int) -> DataFrame:
@@ -100,14 +101,15 @@ def bootstrap_ci(df: DataFrame, value_col: str, id_col: str, n_boot: int = 2000,
         return _interval(split_means(vals, n_boot, seed), mean, ci, n_boot, n)
     replicates = F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b")
     # Each value row fans out to n_boot rows. Spread the n rows over all cores
-    # first: AQE sizes partitions by input bytes and would otherwise pack a small
-    # value table into one task that then does all n * n_boot rows of work.
-    width = df.sparkSession.sparkContext.defaultParallelism
+    # first, and over more tasks when there are many: AQE sizes partitions by input bytes and
+    # would otherwise pack a small value table into one task that then does all n * n_boot rows of work.
+    width = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(size.n * n_boot / DRAWS_PER_TASK))
     if method == "index":
         ranked = stratified_rank(vals.withColumn("__one", F.lit(1)), ["__one"], id_col, seed, "__rk")
-        ranked = ranked.select((F.col("__rk") - 1).alias("idx"), "x")
+        ranked = ranked.select((F.col("__rk") - 1).alias("idx"), "x").checkpoint(eager=True)  # read twice
+        # never null, and said so: the join's filter on a nullable index would compute every hash again
         draws = ranked.repartition(width).select(F.col("idx").alias("i"), replicates).select(
-            "b", (_hash_int(seed, F.col("b"), F.col("i")) % n).alias("idx"))
+            "b", F.coalesce(_hash_int(seed, F.col("b"), F.col("i")) % n, F.lit(0).cast("long")).alias("idx"))
         # n value rows against n_boot * n draws: the values side is broadcast on its counted size
         values = checked_broadcast(ranked, bound=int(size.n))
         reps = draws.join(values, "idx").groupBy("b").agg(F.avg("x").alias("m"))
