@@ -91,3 +91,15 @@ def test_pivots_are_disjoint_and_cheapest():
 
 def test_empty_table(llm, no_docs):
     assert P.group(P.vocabulary(no_docs)).count() == 0
+
+
+def test_no_join_broadcasts_a_table(llm, monkeypatch):
+    """Word tables are small as files and large as rows: none may be broadcast on Spark's estimate."""
+    plans, store = [], P.parked
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(P, "parked", lambda df, name: [plans.append(plan(df)), store(df, name)][1])
+    words = {"a" * i + "bcdefg": 2**i for i in range(1, 6)}
+    got = P.group(llm.createDataFrame(list(words.items()), "word string, n long"), ratio=2)
+    plans.append(plan(got))
+    assert sum("Join" in x for x in plans) >= 3 and not [x for x in plans if "Broadcast" in x]
+    assert {r.root for r in got.collect()} == {"aaaaabcdefg"}

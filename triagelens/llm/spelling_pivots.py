@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import parked
+from .common import parked, unbroadcast
 
 GRAM = 2            # letters of a gram
 EDITS = 1
@@ -186,7 +186,7 @@ def links(words: DataFrame) -> DataFrame:
               .select("word", "n", "last", "at", F.explode(F.sequence(size - EDITS, size + EDITS)).alias("size"))
               .select("word", "n", "last", F.explode(keys(F.col("word"), F.col("at"), F.col("size"))).alias("key")).alias("r"))
     meet = (F.col("r.key") == F.col("s.key")) & (F.col("r.last") <= F.col("s.last")) & (F.col("r.word") != F.col("s.word"))
-    pairs = (probes.join(index, meet).where(F.levenshtein("r.word", "s.word", EDITS) == EDITS)
+    pairs = (probes.join(unbroadcast(index), meet).where(F.levenshtein("r.word", "s.word", EDITS) == EDITS)
              .select(F.col("r.word").alias("word"), F.col("r.n").alias("n"), F.col("s.word").alias("near"), F.col("s.n").alias("near_n")))
     pairs = pairs.unionByName(pairs.select(F.col("near").alias("word"), F.col("near_n").alias("n"),
                                            F.col("word").alias("near"), F.col("n").alias("near_n")))
@@ -198,7 +198,7 @@ def roots(forms: DataFrame) -> DataFrame:
     step = parked(forms, "forms")
     while True:
         ahead = step.select(F.col("word").alias("mid"), F.col("form").alias("after"))
-        step = step.join(ahead, F.col("form") == F.col("mid"), "left")
+        step = step.join(unbroadcast(ahead), F.col("form") == F.col("mid"), "left")
         step = parked(step.select("word", F.coalesce("after", "form").alias("form"), F.col("after").isNotNull().alias("moved")), "forms")
         if not step.agg(F.coalesce(F.bool_or("moved"), F.lit(False))).first()[0]:
             return step.select("word", F.col("form").alias("root"))
@@ -212,6 +212,6 @@ def group(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     near = links(words).groupBy("word", "n").agg(F.count(F.lit(1)).alias("n_near"), best.alias("best"))
     near = parked(near.select("word", "n_near", F.when(-F.col("best.m") >= ratio * F.col("n"), F.col("best")).alias("best")), "near")
     ends = roots(near.where("best is not null").select("word", F.col("best.near").alias("form")))
-    return (words.join(near, "word", "left").join(ends, "word", "left")
+    return (words.join(unbroadcast(near), "word", "left").join(unbroadcast(ends), "word", "left")
             .select("word", F.col("best.near").alias("form"), F.coalesce("root", "word").alias("root"), "n",
                     F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), (-F.col("best.m")).alias("form_n")))
