@@ -40,7 +40,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import parked, unbroadcast
+from ..operators.util import unbroadcast
+from .common import parked
 
 GRAM = 2            # letters of a gram
 EDITS = 1
